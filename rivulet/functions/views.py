@@ -7,6 +7,8 @@ value cannot be read that way. Nothing here needs a Python worker.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F, types as T
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -55,6 +57,12 @@ ZONES = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once however often it is used.
+    Plain columns do not need it; costly expressions do."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(col: Column) -> Column:
     """Trim Unicode white space from both ends."""
     return F.regexp_replace(col, F.lit(r"(?U)^\s+|\s+\z"), F.lit(""))
@@ -68,26 +76,16 @@ def double_text(col: Column) -> Column:
     up to 1e16, otherwise ``1.5e16`` style. Spark's own cast switches to
     ``1.0E7`` style much earlier."""
     raw = col.cast("string")
-    sign = F.when(raw.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_replace(F.split_part(raw, F.lit("E"), F.lit(1)), F.lit(r"^-|\.0\z"), F.lit(""))
-    digits = F.replace(mantissa, F.lit("."), F.lit(""))
-    power = F.split_part(raw, F.lit("E"), F.lit(2)).cast("int")
-    width = power + F.lit(1)
-    whole = F.rpad(digits, F.greatest(width, F.length(digits)), "0")
-    fraction = F.substring(whole, width + F.lit(1), F.lit(400))
-    large = F.concat(
-        F.substring(whole, F.lit(1), width),
-        F.lit("."),
-        F.when(fraction == "", F.lit("0")).otherwise(fraction),
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - F.lit(1)), digits)
-    scientific = F.concat(mantissa, F.lit("e"), power.cast("string"))
-    spelled = (
-        F.when((power >= 7) & (power <= 15), large)
-        .when((power < 0) & (power >= -5), small)
+    size = F.abs(col)
+    # 16 digits before the point and 22 after hold every double in that range.
+    digits = raw.try_cast("decimal(38,22)").cast("string")
+    plain = F.regexp_replace(digits, F.lit(r"(\.[0-9]+?)0+$"), F.lit("$1"))
+    scientific = F.lower(F.regexp_replace(raw, F.lit(r"\.0E"), F.lit("E")))
+    return (
+        F.when(~F.contains(raw, F.lit("E")), raw)
+        .when((size >= 1e-5) & (size < 1e16), plain)
         .otherwise(scientific)
     )
-    return F.when(raw.contains("E"), F.concat(sign, spelled)).otherwise(raw)
 
 
 def moment_text(col: Column) -> Column:
@@ -133,7 +131,7 @@ def text_view(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return moment_text(col)
     if isinstance(dtype, T.VariantType):
-        return variant_text(col)
+        return let(col, variant_text)
     if isinstance(dtype, NESTED):
         return F.to_json(sorted_keys(col, dtype))
     return col.cast("string")
@@ -171,16 +169,14 @@ def _rfc2822_moment(text: Column) -> Column:
         .otherwise(short + 1900)
     )
     zone = part(8)
-    named = F.lit(None).cast("string")
-    for name, offset in ZONES.items():
-        named = F.when(zone == name, F.lit(offset)).otherwise(named)
+    named = F.create_map(*[F.lit(text) for pair in ZONES.items() for text in pair])
     offset = (
         F.when(
             zone.rlike("^[+-]"),
             F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)),
         )
         .when(zone.rlike("^[a-ik-z]$"), F.lit("+00:00"))
-        .otherwise(named)
+        .otherwise(F.try_element_at(named, zone))
     )
     day = F.format_string("%04d-%02d-%02d", year, month, part(2).cast("int"))
     seconds = F.when(part(7) == "", F.lit("00")).otherwise(part(7))
@@ -211,8 +207,10 @@ def moment_from_text(text: Column) -> Column:
 def moment_view(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, MOMENTS):
         return col.cast("timestamp")
-    if isinstance(dtype, (T.StringType, T.VariantType)):
-        return moment_from_text(text_view(col, dtype))
+    if isinstance(dtype, T.StringType):
+        return moment_from_text(col)
+    if isinstance(dtype, T.VariantType):
+        return let(text_view(col, dtype), moment_from_text)
     return F.lit(None).cast("timestamp")
 
 

@@ -82,15 +82,19 @@ def _dynamic(items: Items, parsed: list[tuple[str, list[str]]]) -> Items:
     item = quoted(DYNAMIC_COLUMN)
     for op, fields in parsed:
         if op == "drop":
-            changed = F.map_filter(item, lambda k, _: k != fields[0])
+            changed = _without(item, fields)
         elif fields[0] == fields[1]:
             continue
         else:
             replaced = fields if op == "rename" else fields[1:]
-            rest = F.map_filter(item, lambda k, _, gone=replaced: ~k.isin(*gone))
             moved = F.create_map(F.lit(fields[1]), F.element_at(item, F.lit(fields[0])))
             changed = F.when(
-                F.map_contains_key(item, F.lit(fields[0])), F.map_concat(rest, moved)
+                F.map_contains_key(item, fields[0]),
+                F.map_concat(_without(item, replaced), moved),
             ).otherwise(item)
         df = df.withColumn(DYNAMIC_COLUMN, changed)
     return items.with_df(df)
+
+
+def _without(item: Column, names: list[str]) -> Column:
+    return F.map_filter(item, lambda k, _: ~k.isin(*names))

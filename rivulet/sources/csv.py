@@ -6,7 +6,7 @@ import csv
 import io
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rivulet.items import HIDDEN, DYNAMIC_COLUMN, Items, quoted
 from rivulet.session import pin_utc
@@ -42,7 +42,15 @@ def read_csv(spark: SparkSession, path: str | list[str], multiline: bool = False
     return Items.from_ordered(df.select(*cells, *place), [f"{HIDDEN}{i}" for i in range(3)])
 
 
-@F.pandas_udf("struct<rows: array<map<string,string>>, problem: string>")
+_RECORDS = T.StructType(
+    [
+        T.StructField("rows", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
+        T.StructField("problem", T.StringType()),
+    ]
+)
+
+
+@F.pandas_udf(_RECORDS)
 def _csv_records(bodies: pd.Series) -> pd.DataFrame:
     """Records of each body. One body is one fetched document, so it is small."""
     parsed = []
@@ -55,18 +63,16 @@ def _csv_records(bodies: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(parsed, columns=["rows", "problem"])
 
 
-def _records(bodies: DataFrame) -> DataFrame:
-    return require_bodies(bodies).select("url", _csv_records("body").alias("csv"))
-
-
-def _exploded(records: DataFrame) -> Items:
-    df = records.select(
-        F.col("url").alias(SOURCE_KEY), F.posexplode("csv.rows").alias(ITEM_KEY, "row")
-    )
+def _exploded(records: DataFrame, rows: Column) -> Items:
+    df = records.select(F.col("url").alias(SOURCE_KEY), F.posexplode(rows).alias(ITEM_KEY, "row"))
     item = F.transform_values("row", lambda _, v: v.cast("variant")).alias(DYNAMIC_COLUMN)
     return Items.from_ordered(df.select(item, SOURCE_KEY, ITEM_KEY), [SOURCE_KEY, ITEM_KEY])
 
 
+def _records(bodies: DataFrame) -> DataFrame:
+    return require_bodies(bodies).select("url", _csv_records("body").alias("csv"))
+
+
 def parse_csv_bodies(bodies: DataFrame) -> Parsed:
     """Dynamic items of landed CSV documents, each with a header of its own, and
     the ragged bodies set aside."""
@@ -74,12 +80,12 @@ def parse_csv_bodies(bodies: DataFrame) -> Parsed:
     rejects = records.where("csv.problem is not null").select(
         "url", F.col("csv.problem").alias("reason")
     )
-    return Parsed(_exploded(records.where("csv.problem is null")), rejects)
+    return Parsed(_exploded(records, F.col("csv.rows")), rejects)
 
 
 def csv_items(bodies: DataFrame) -> Items:
     """Like ``parse_csv_bodies``, but a ragged body fails the run."""
-    problem = F.col("csv.problem")
+    problem, rows = F.col("csv.problem"), F.col("csv.rows")
     failure = F.raise_error(F.concat(problem, F.lit(" at "), F.col("url")))
-    checked = F.when(problem.isNull(), F.lit(True)).otherwise(failure.cast("boolean"))
-    return _exploded(_records(bodies).where(checked))
+    checked = F.when(problem.isNull(), rows).otherwise(failure.cast(_RECORDS["rows"].dataType))
+    return _exploded(_records(bodies), checked)

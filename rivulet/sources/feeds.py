@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rivulet.functions.views import moment_from_text, moment_text
+from rivulet.functions.views import let, moment_from_text, moment_text
 from rivulet.items import Items
 from rivulet.sources.landed import (
     ITEM_KEY,
@@ -76,7 +76,7 @@ def _rss_item(entry: Column) -> Column:
 
 def _atom_item(entry: Column) -> Column:
     return _item(
-        _first(entry["id"]),
+        F.nullif(_first(entry["id"]), F.lit("")),
         _first(entry["title"]),
         _first(entry["link"])["_href"],
         _first(entry["summary"]),
@@ -98,39 +98,35 @@ def _json_item(entry: Column) -> Column:
     )
 
 
-def _normalized(bodies: DataFrame) -> DataFrame:
-    """One row per body: ``entries`` is NULL where the body is no feed."""
-    body = F.col("body")
-    root = F.regexp_extract(body, ROOT_PATTERN, 1)
-    is_json = body.rlike(r"^\s*\{")
-    shaped = bodies.select(
-        "url",
-        root.alias("root"),
-        F.when(root.isin("rss", "rdf:RDF", "feed"), F.from_xml(body, XML_SCHEMA)).alias("xml"),
-        F.when(is_json, F.from_json(body, JSON_SCHEMA)).alias("json"),
-    )
-    none = F.array().cast(f"array<{ITEM_TYPE}>")
-    json = F.col("json")
-    xml = F.when(F.col("xml._corrupt_record").isNull(), F.col("xml"))
+def _xml_entries(root: Column, feed: Column) -> Column:
     rss = F.coalesce(
-        F.transform(xml["channel"]["item"], _rss_item), F.transform(xml["item"], _rss_item), none
-    )
-    atom = F.coalesce(F.transform(xml["entry"], _atom_item), none)
-    return shaped.select(
-        "url",
-        F.when(xml.isNotNull() & (F.col("root") == "feed"), atom)
-        .when(xml.isNotNull(), rss)
-        .when(
-            json["version"].contains("jsonfeed.org"),
-            F.coalesce(F.transform(json["items"], _json_item), none),
-        )
-        .alias("entries"),
+        F.transform(feed["channel"]["item"], _rss_item), F.transform(feed["item"], _rss_item)
     )
+    found = F.when(root == "feed", F.transform(feed["entry"], _atom_item)).otherwise(rss)
+    well_formed = feed.isNotNull() & feed["_corrupt_record"].isNull()
+    return F.when(well_formed, F.coalesce(found, _none()))
+
+
+def _json_entries(feed: Column) -> Column:
+    found = F.coalesce(F.transform(feed["items"], _json_item), _none())
+    return F.when(feed["version"].contains("jsonfeed.org"), found)
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{ITEM_TYPE}>")
+
+
+def _entries(body: Column) -> Column:
+    """The entries of one body in order, NULL if it is no feed."""
+    root = F.regexp_extract(body, ROOT_PATTERN, 1)
+    xml = let(F.from_xml(body, XML_SCHEMA), lambda feed: _xml_entries(root, feed))
+    json = let(F.from_json(body, JSON_SCHEMA), _json_entries)
+    return F.when(root.isin("rss", "rdf:RDF", "feed"), xml).when(body.rlike(r"^\s*\{"), json)
 
 
-def _exploded(entries: DataFrame) -> Items:
-    df = entries.select(
-        F.col("url").alias(SOURCE_KEY), F.posexplode("entries").alias(ITEM_KEY, "entry")
+def _exploded(bodies: DataFrame, entries: Column) -> Items:
+    df = bodies.select(
+        F.col("url").alias(SOURCE_KEY), F.posexplode(entries).alias(ITEM_KEY, "entry")
     )
     columns = [F.col("entry")[key].alias(key) for key in FEED_KEYS]
     return Items.from_ordered(df.select(*columns, SOURCE_KEY, ITEM_KEY), [SOURCE_KEY, ITEM_KEY])
@@ -139,19 +135,18 @@ def _exploded(entries: DataFrame) -> Items:
 def parse_feed_bodies(bodies: DataFrame) -> Parsed:
     """Items of landed feeds in (url, entry) order, with the bodies that are no
     feed set aside."""
-    normalized = _normalized(require_bodies(bodies))
-    rejects = normalized.where("entries is null").select(
+    entries = _entries(F.col("body"))
+    rejects = require_bodies(bodies).where(entries.isNull()).select(
         "url", F.lit("cannot parse feed").alias("reason")
     )
-    return Parsed(_exploded(normalized.where("entries is not null")), rejects)
+    return Parsed(_exploded(bodies, entries), rejects)
 
 
 def feed_items(bodies: DataFrame) -> Items:
     """Like ``parse_feed_bodies``, but a malformed body fails the run."""
-    normalized = _normalized(require_bodies(bodies))
     failure = F.raise_error(F.concat(F.lit("cannot parse feed at "), F.col("url")))
-    failed = F.from_json(failure.cast("string"), f"array<{ITEM_TYPE}>")
-    return _exploded(normalized.select("url", F.coalesce("entries", failed).alias("entries")))
+    entries = F.coalesce(_entries(F.col("body")), failure.cast(f"array<{ITEM_TYPE}>"))
+    return _exploded(require_bodies(bodies), entries)
 
 
 def read_feeds(spark: SparkSession, files: str | list[str]) -> Items:

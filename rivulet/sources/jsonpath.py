@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from rivulet.functions.views import let
 from rivulet.items import variant_path
 from rivulet.operators.rules import COMPARE
 
@@ -139,5 +140,9 @@ def select_elements(root: Column, path: str | None) -> Column:
     nodes = F.array(root)
     for step in parse_path(path) if path and path.strip() else []:
         nodes = step(nodes)
-    only = F.when(F.size(nodes) == 1, elements(F.get(nodes, F.lit(0))))
-    return F.coalesce(only, nodes)
+    return let(
+        nodes,
+        lambda found: F.coalesce(
+            F.when(F.size(found) == 1, elements(F.get(found, F.lit(0)))), found
+        ),
+    )
