@@ -25,19 +25,22 @@ NUMBER_PATTERN = (
     r"|[+-]?inf(?:inity)?|nan)\s*\z"
 )
 
-# The accepted date forms.
+# The accepted date forms, white space around them allowed.
 RFC3339_PATTERN = (
-    r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2})"
-    r"(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})\z"
+    r"(?U)^\s*([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2})"
+    r"(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})\s*\z"
 )
-NAIVE_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\z"
-DAY_PATTERN = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\z"
+NAIVE_PATTERN = (
+    r"(?U)^\s*([0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})\s*\z"
+)
+DAY_PATTERN = r"(?U)^\s*([0-9]{4}-[0-9]{1,2}-[0-9]{1,2})\s*\z"
 RFC2822_PATTERN = (
-    r"^(?i)(?:(mon|tue|wed|thu|fri|sat|sun)\s*,)?\s*([0-9]{1,2})\s+"
+    r"(?Ui)^\s*(?:(mon|tue|wed|thu|fri|sat|sun)\s*,)?\s*([0-9]{1,2})\s+"
     r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+([0-9]{2,4})\s+"
     r"([0-9]{1,2})\s*:\s*([0-9]{2})(?:\s*:\s*([0-9]{2}))?\s+"
     r"([+-][0-9]{4}|[a-z]{1,3})(?:\s*\(.*\))?\s*\z"
 )
+RFC2822_PARTS = "$1|$2|$3|$4|$5|$6|$7|$8"
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 WEEKDAYS = "montuewedthufrisatsun"
 
@@ -63,11 +66,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def squeeze(col: Column) -> Column:
-    """Trim Unicode white space from both ends."""
-    return F.regexp_replace(col, F.lit(r"(?U)^\s+|\s+\z"), F.lit(""))
-
-
 # --- text ------------------------------------------------------------------
 
 
@@ -120,9 +118,11 @@ def sorted_keys(col: Column, dtype: T.DataType) -> Column:
 
 
 def variant_text(col: Column) -> Column:
-    raw = F.when(F.is_variant_null(col), F.lit("null")).otherwise(col.cast("string"))
-    real = raw.rlike(r"^-?[0-9.]+E-?[0-9]+\z") & (F.schema_of_variant(col) == "DOUBLE")
-    return F.when(real, double_text(F.try_variant_get(col, "$", "double"))).otherwise(raw)
+    raw = col.cast("string")
+    exponent = F.contains(raw, F.lit("E")) & (F.schema_of_variant(col) == "DOUBLE")
+    return F.when(exponent, double_text(F.try_variant_get(col, "$", "double"))).otherwise(
+        F.coalesce(raw, F.when(F.is_variant_null(col), F.lit("null")))
+    )
 
 
 def text_view(col: Column, dtype: T.DataType) -> Column:
@@ -141,7 +141,9 @@ def text_view(col: Column, dtype: T.DataType) -> Column:
 
 
 def number_from_text(text: Column) -> Column:
-    return F.regexp_extract(text, NUMBER_PATTERN, 1).try_cast("double")
+    # Only what is a number reaches the cast: a misfit costs an exception there.
+    number = F.regexp_extract(text, NUMBER_PATTERN, 1).try_cast("double")
+    return F.when(text.rlike(NUMBER_PATTERN), number)
 
 
 def number_view(col: Column, dtype: T.DataType) -> Column:
@@ -155,20 +157,15 @@ def number_view(col: Column, dtype: T.DataType) -> Column:
 # --- date ------------------------------------------------------------------
 
 
-def _rfc2822_moment(text: Column) -> Column:
-    def part(group: int) -> Column:
-        return F.lower(F.regexp_extract(text, RFC2822_PATTERN, group))
-
-    month = ((F.position(part(3), F.lit(MONTHS)) + 2) / 3).cast("int")
-    digits = part(4)
-    short = digits.cast("int")
-    year = (
-        F.when(F.length(digits) == 4, short)
-        .when(F.length(digits) == 3, short + 1900)
-        .when(short < 50, short + 2000)
-        .otherwise(short + 1900)
+def _rfc2822_moment(parts: Column) -> Column:
+    """The moment of a split RFC 2822 date; NULL if the weekday is not that
+    day's or the zone is unknown."""
+    weekday, day, month, year, hour, minute, second, zone = (
+        F.get(parts, F.lit(i)) for i in range(8)
     )
-    zone = part(8)
+    month = ((F.position(month, F.lit(MONTHS)) + 2) / 3).cast("int")
+    number = year.cast("int")
+    century = F.when(number < 50, 2000).when(number < 1000, 1900).otherwise(0)
     named = F.create_map(*[F.lit(text) for pair in ZONES.items() for text in pair])
     offset = (
         F.when(
@@ -178,14 +175,12 @@ def _rfc2822_moment(text: Column) -> Column:
         .when(zone.rlike("^[a-ik-z]$"), F.lit("+00:00"))
         .otherwise(F.try_element_at(named, zone))
     )
-    day = F.format_string("%04d-%02d-%02d", year, month, part(2).cast("int"))
-    seconds = F.when(part(7) == "", F.lit("00")).otherwise(part(7))
-    clock = F.concat_ws(":", F.lpad(part(5), 2, "0"), part(6), seconds)
-    moment = F.concat(day, F.lit("T"), clock, offset).try_cast("timestamp")
-    weekday = part(1)
+    date = F.concat_ws("-", (number + century).cast("string"), month.cast("string"), day)
     told = ((F.position(weekday, F.lit(WEEKDAYS)) - 1) / 3).cast("int")
-    agrees = (weekday == "") | (told == F.weekday(day.try_cast("date")))
-    return F.when(agrees, moment)
+    agrees = (weekday == "") | (told == F.weekday(date.try_cast("date")))
+    seconds = F.when(second == "", F.lit("00")).otherwise(second)
+    moment = F.concat(date, F.lit("T"), F.concat_ws(":", hour, minute, seconds), offset)
+    return F.when(agrees, moment.try_cast("timestamp"))
 
 
 def moment_from_text(text: Column) -> Column:
@@ -194,13 +189,22 @@ def moment_from_text(text: Column) -> Column:
     The shape is tested first so that a value is parsed once, by the one parser
     that fits, and misfits cost no exceptions inside the parser.
     """
-    t = squeeze(text)
-    canonical = F.regexp_replace(t, F.lit(RFC3339_PATTERN), F.lit("$1T$2$3$4"))
+
+    def rewritten(pattern: str, form: str) -> Column:
+        return F.regexp_replace(text, F.lit(pattern), F.lit(form))
+
+    rfc3339 = F.upper(rewritten(RFC3339_PATTERN, "$1T$2$3$4"))
+    rfc2822 = F.split(F.lower(rewritten(RFC2822_PATTERN, RFC2822_PARTS)), r"\|")
     return (
-        F.when(t.rlike(RFC3339_PATTERN), F.upper(canonical).try_cast("timestamp"))
-        .when(t.rlike(DAY_PATTERN), F.concat(t, F.lit(" 00:00:00+00:00")).try_cast("timestamp"))
-        .when(t.rlike(NAIVE_PATTERN), F.concat(t, F.lit("+00:00")).try_cast("timestamp"))
-        .when(t.rlike(RFC2822_PATTERN), _rfc2822_moment(t))
+        F.when(text.rlike(RFC3339_PATTERN), rfc3339.try_cast("timestamp"))
+        .when(
+            text.rlike(DAY_PATTERN),
+            rewritten(DAY_PATTERN, "$1 00:00:00+00:00").try_cast("timestamp"),
+        )
+        .when(
+            text.rlike(NAIVE_PATTERN), rewritten(NAIVE_PATTERN, "$1+00:00").try_cast("timestamp")
+        )
+        .when(text.rlike(RFC2822_PATTERN), let(rfc2822, _rfc2822_moment))
     )
 
 

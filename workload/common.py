@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 
 from rivulet import Items
-from rivulet.session import pin_utc
+from rivulet.session import pin_utc, spread_small_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows cost much to work on, narrowed to ``columns``."""
+    df = table(spark, sf_dir, name)
+    return spread_small_scan(df.select(*columns) if columns else df, KEYS[name][0])
+
+
 def items(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Items:
     """A table as items in key order, narrowed to ``columns`` if any are given."""
     df = table(spark, sf_dir, name)
