@@ -141,16 +141,18 @@ def text_view(col: Column, dtype: T.DataType) -> Column:
 
 
 def number_from_text(text: Column) -> Column:
-    # Only what is a number reaches the cast: a misfit costs an exception there.
-    number = F.regexp_extract(text, NUMBER_PATTERN, 1).try_cast("double")
-    return F.when(text.rlike(NUMBER_PATTERN), number)
+    # A misfit is NULL before the cast, where it would cost an exception.
+    found = F.regexp_extract(text, NUMBER_PATTERN, 1)
+    return F.nullif(found, F.lit("")).try_cast("double")
 
 
 def number_view(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, NUMERIC):
         return col.cast("double")
-    if isinstance(dtype, (T.StringType, T.VariantType)):
-        return number_from_text(text_view(col, dtype))
+    if isinstance(dtype, T.StringType):
+        return number_from_text(col)
+    if isinstance(dtype, T.VariantType):
+        return let(text_view(col, dtype), number_from_text)
     return F.lit(None).cast("double")
 
 
@@ -184,11 +186,13 @@ def _rfc2822_moment(parts: Column) -> Column:
 
 
 def moment_from_text(text: Column) -> Column:
-    """First of: RFC 3339, RFC 2822, ``Y-m-d H:M:S``, ``Y-m-d``; naive is UTC.
+    """First of: RFC 3339, RFC 2822, ``Y-m-d H:M:S``, ``Y-m-d``; naive is UTC."""
+    return let(text, _moment_by_shape)
+
 
-    The shape is tested first so that a value is parsed once, by the one parser
-    that fits, and misfits cost no exceptions inside the parser.
-    """
+def _moment_by_shape(text: Column) -> Column:
+    """The shape is tested first so that a value is parsed once, by the one
+    parser that fits, and misfits cost no exceptions inside the parser."""
 
     def rewritten(pattern: str, form: str) -> Column:
         return F.regexp_replace(text, F.lit(pattern), F.lit(form))
@@ -211,10 +215,8 @@ def moment_from_text(text: Column) -> Column:
 def moment_view(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, MOMENTS):
         return col.cast("timestamp")
-    if isinstance(dtype, T.StringType):
-        return moment_from_text(col)
-    if isinstance(dtype, T.VariantType):
-        return let(text_view(col, dtype), moment_from_text)
+    if isinstance(dtype, (T.StringType, T.VariantType)):
+        return moment_from_text(text_view(col, dtype))
     return F.lit(None).cast("timestamp")
 
 

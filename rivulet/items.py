@@ -158,12 +158,14 @@ class Items:
     def dtype(self, name: str) -> T.DataType:
         return self.df.schema[name].dataType
 
-    def field(self, path: str) -> Field:
+    def field(self, path: str, item: Column | None = None) -> Field:
         """Look up a dotted path; a leading ``item.`` is dropped. Names match
-        exactly, arrays are opaque, anything not there is missing."""
+        exactly, arrays are opaque, anything not there is missing. ``item``
+        stands in for the column of a dynamic item."""
         segments = strip_item(path).split(".")
         if self.dynamic:
-            return _descend(quoted(DYNAMIC_COLUMN), DYNAMIC_TYPE, segments)
+            root = quoted(DYNAMIC_COLUMN) if item is None else item
+            return _descend(root, DYNAMIC_TYPE, segments)
         if segments[0] not in self.columns:
             return missing()
         return _descend(quoted(segments[0]), self.dtype(segments[0]), segments[1:])

@@ -7,9 +7,10 @@ from datetime import datetime, timezone
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
 
-from rivulet.items import Items
+from rivulet.functions.views import let
+from rivulet.items import DYNAMIC_COLUMN, Items, quoted
 from rivulet.operators.rules import predicate
 
 
@@ -33,14 +34,20 @@ def filter_items(
     for rule in rules or []:
         if not isinstance(rule, str):
             raise ValueError(f"rule `{rule}` is not a string")
-    hits = [predicate(items, rule, now) for rule in rules or []]
-    if not hits:
+    if not rules:
         return items
     if mode not in ("permit", "block"):
         raise ValueError(f"mode must be `permit` or `block`, not `{mode}`")
     if match not in ("all", "any"):
         raise ValueError(f"match must be `all` or `any`, not `{match}`")
-    hit = reduce(and_ if match == "all" else or_, hits)
+    combine = and_ if match == "all" else or_
+
+    def satisfied(item: Column | None) -> Column:
+        return reduce(combine, [predicate(items, rule, now, item) for rule in rules])
+
+    # Spark evaluates a pushed-down predicate on what makes up the item, once
+    # per mention, so a dynamic item is put together once for all rules.
+    hit = let(quoted(DYNAMIC_COLUMN), satisfied) if items.dynamic else satisfied(None)
     if mode == "block":
         hit = ~F.coalesce(hit, F.lit(False))
     return items.with_df(items.df.where(hit))

@@ -72,11 +72,10 @@ def _has_path(dtype: T.DataType, rest: list[str]) -> bool:
 
 def _extract(items: Items, path: str, pattern: Pattern) -> Items:
     text = items.field(path).text
-    matched = F.coalesce(text.rlike(pattern.java), F.lit(False))
-    groups = {
-        name: F.when(matched, _group(text, pattern, index))
-        for name, index in pattern.groups.items()
-    }
+    groups = {name: _group(text, pattern, index) for name, index in pattern.groups.items()}
+    if len(groups) > 1:  # one cheap test spares the groups of what does not match
+        matched = text.rlike(pattern.java)
+        groups = {name: F.when(matched, value) for name, value in groups.items()}
     if items.dynamic:
         df = items.df
         names = items.fresh_hidden(len(groups))
@@ -101,8 +100,8 @@ def _group(text: Column, pattern: Pattern, index: int) -> Column:
     part. The atomic group pins the check to the first match.
     """
     took_part = rf"\A(?>[\s\S]*?(?:{pattern.java}))(?:\{index})"
-    found = F.regexp_extract(text, pattern.java, index)
-    return F.when(found != "", found).when(text.rlike(took_part), F.lit(""))
+    found = F.nullif(F.regexp_extract(text, pattern.java, index), F.lit(""))
+    return F.coalesce(found, F.when(text.rlike(took_part), F.lit("")))
 
 
 def _put(df, when: Column, name: str, text: Column):

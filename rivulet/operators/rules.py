@@ -108,12 +108,14 @@ def plain_number(value: float) -> str:
     return text.rstrip("0").rstrip(".") if "." in text else text
 
 
-def predicate(items: Items, text: str, now: datetime) -> Column:
+def predicate(
+    items: Items, text: str, now: datetime, item: Column | None = None
+) -> Column:
     """The rule as a predicate over ``items``. True on a match; false or NULL
     otherwise, so callers that negate it must treat NULL as false."""
     try:
         rule = parse_rule(text)
-        return _predicate(items.field(rule.field), rule, now)
+        return _predicate(items.field(rule.field, item), rule, now)
     except (ValueError, OverflowError) as problem:
         raise ValueError(f"rule `{text}`: {problem}") from None
 
