@@ -203,6 +203,13 @@ class Items:
 
         return numbered(self, name).select(name, *[quoted(c) for c in self.columns])
 
+    def checkpoint(self) -> Items:
+        """The same items, computed now and kept in the cluster's checkpoint
+        folder, for a costly result that several later steps read."""
+        from rivulet.session import checkpointed
+
+        return self.with_df(checkpointed(self.df))
+
     # --- steps -------------------------------------------------------------
 
     def pipe(self, step: Callable[..., Items], *args, **kwargs) -> Items:

@@ -10,10 +10,13 @@ from rivulet.functions import views
 from rivulet.items import Field, Items, OrderKey, quoted, strip_item
 from rivulet.session import checkpointed
 
-# Up to this many rows a top-k runs as one TakeOrderedAndProject, whose last
-# task receives at most this many rows from every map task. Larger cuts are
-# numbered in parallel instead.
+# How a cut runs depends on its size, because the last task of Spark's top-k
+# receives that many rows from every map task. Small cuts are one top-k; larger
+# ones are thinned out in parallel buckets before; beyond TOP_K_ROWS, where
+# Spark no longer limits groups on the map side, rows are numbered in parallel.
+DIRECT_TOP_K_ROWS = 100
 TOP_K_ROWS = 1_000
+TOP_K_BUCKETS = 64
 
 # monotonically_increasing_id() is (partition << 33) + row within the partition.
 ROW_BITS = 33
@@ -105,13 +108,29 @@ def limit(items: Items, n: int) -> Items:
     if items.max_rows is not None and items.max_rows <= n:
         return items
     if n <= TOP_K_ROWS:
-        df = items.df.orderBy(*items.sort_columns()).limit(n)
+        df = items.df if n <= DIRECT_TOP_K_ROWS else _thinned(items, n)
+        df = df.orderBy(*items.sort_columns()).limit(n)
     else:
         pos = items.fresh_hidden(1)[0]
         df = numbered(items, pos).where(quoted(pos) <= n).drop(pos)
     return items.with_df(df, max_rows=n)
 
 
+def _thinned(items: Items, n: int) -> DataFrame:
+    """The first ``n`` rows of every bucket, which include the first ``n`` of
+    all. Rows fall into buckets by a hash of their place, which spreads them
+    whatever the data."""
+    bucket, rank = items.fresh_hidden(2)
+    place = F.xxhash64(*[quoted(key.column) for key in items.order])
+    window = Window.partitionBy(bucket).orderBy(*items.sort_columns())
+    return (
+        items.df.withColumn(bucket, F.pmod(place, F.lit(TOP_K_BUCKETS)))
+        .withColumn(rank, F.row_number().over(window))
+        .where(quoted(rank) <= n)
+        .drop(bucket, rank)
+    )
+
+
 def tail(items: Items, n: int) -> Items:
     """The last ``n`` items, in their original order."""
     items.require_batch("tail")

@@ -41,6 +41,19 @@ def test_cuts_are_top_k(spark):
     assert "TakeOrderedAndProject(limit=5" in plan(Items.from_table(spark.range(9), "id").tail(5).df)
 
 
+@pytest.mark.parametrize("n", [101, 1000])
+def test_larger_cuts_are_thinned_on_the_map_side(spark, n):
+    text = plan(Items.from_table(spark.range(9_000), "id").limit(n).df)
+    assert f"TakeOrderedAndProject(limit={n}" in text
+    assert text.count("WindowGroupLimit") == 2 and "Partial" in text
+
+
+def test_unique_reads_its_input_once(spark):
+    text = plan(ordering.unique_missing_kept(spark, SF))
+    assert text.count("FileScan") == 2  # documents and labels
+    assert text.count("Exchange hashpartitioning") == 1
+
+
 def test_unique_keeps_one_row_per_task_and_key(spark):
     text = plan(ordering.unique_first(spark, SF))
     assert text.count("WindowGroupLimit") == 2 and "Partial" in text
