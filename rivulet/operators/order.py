@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rivulet.functions import views
-from rivulet.items import Field, Items, OrderKey, quoted, strip_item
+from rivulet.items import Field, Items, OrderKey, quoted
 from rivulet.session import checkpointed
 
 # How a cut runs depends on its size, because the last task of Spark's top-k
@@ -35,7 +35,7 @@ def sort(items: Items, by: str, order: str = "asc", compare: str = "auto") -> It
         raise ValueError(
             f"compare must be `auto`, `numeric`, `lexical`, or `date`, not `{compare}`"
         )
-    keys = _sort_keys(items, items.field(strip_item(by)), compare)
+    keys = _sort_keys(items, items.field(by), compare)
     names = items.fresh_hidden(len(keys))
     df = items.df.select("*", *[key.alias(name) for key, name in zip(keys, names)])
     front = tuple(OrderKey(name, order == "desc", nulls_last=True) for name in names)

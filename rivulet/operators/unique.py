@@ -22,7 +22,7 @@ def unique(items: Items, by: str) -> Items:
     if by is None:
         raise ValueError("param `by` is required")
     path = strip_item(by)
-    field = items.field(path)
+    field = items.field(by)
     key, rank, row, *places = items.fresh_hidden(3 + len(items.order))
     df = items.df
     if not items.dynamic and path in df.columns and isinstance(field.dtype, _AS_THEY_ARE):

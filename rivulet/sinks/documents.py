@@ -118,11 +118,20 @@ def atom_fragment(items: Items) -> Column:
     )
 
 
+def _variant_json(value: Column) -> Column:
+    def spelled(v: Column) -> Column:
+        text = F.to_json(v)
+        exponent = F.contains(text, F.lit("E")) & (F.schema_of_variant(v) == "DOUBLE")
+        return F.when(exponent, views.variant_text(v)).otherwise(text)
+
+    return views.let(value, spelled)
+
+
 def _json_value(field: Field) -> Column:
     if isinstance(field.dtype, views.MOMENTS + (T.StringType,)):
         return json_string(field.text)
     if isinstance(field.dtype, T.VariantType):
-        return F.to_json(field.value)
+        return _variant_json(field.value)
     if isinstance(field.dtype, views.FRACTIONAL):
         number = field.value.cast("double")
         finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
@@ -136,7 +145,7 @@ def json_text(items: Items, joiner: str = ",", colon: str = ":") -> Column:
         item = quoted(DYNAMIC_COLUMN)
         pairs = F.transform(
             F.array_sort(F.map_keys(item)),
-            lambda k: F.concat(json_string(k), F.lit(colon), F.to_json(F.element_at(item, k))),
+            lambda k: F.concat(json_string(k), F.lit(colon), _variant_json(F.element_at(item, k))),
         )
         body = F.array_join(pairs, joiner)
     else:

@@ -20,7 +20,6 @@ from rivulet.sources.landed import (
 
 # Element and field names of the feed formats.
 FEED_KEYS = ("guid", "title", "link", "description", "content", "pubDate", "author")
-_TEXT = "struct<_VALUE: string, _type: string>"
 _RSS_ITEM = (
     "struct<title: array<string>, link: array<string>, description: array<string>, "
     "`content:encoded`: array<string>, pubDate: array<string>, `dc:date`: array<string>, "

@@ -1,10 +1,10 @@
 import math
-from datetime import datetime, timezone
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import NOW, column, rows
+from conftest import NOW, rows
 from rivulet import Items
 from rivulet.functions import cards as card_functions
 from rivulet.functions.profile import content_hash, key_list, key_union
