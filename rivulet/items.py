@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rivulet.functions import views
 from rivulet.session import pin_utc
@@ -33,6 +33,21 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def refuse_case_twins(spark: SparkSession, names: Iterable[str]) -> None:
+    """Field names are exact, but Spark by default cannot tell two columns apart
+    that differ only in case."""
+    if spark.conf.get("spark.sql.caseSensitive") == "true":
+        return
+    seen: dict[str, str] = {}
+    for name in names:
+        twin = seen.setdefault(name.lower(), name)
+        if twin != name:
+            raise ValueError(
+                f"fields `{twin}` and `{name}` differ only in case: set "
+                "spark.sql.caseSensitive=true or use dynamic items"
+            )
+
+
 def strip_item(path: str) -> str:
     return path.removeprefix("item.")
 
@@ -123,6 +138,10 @@ class Items:
         unique, or ties have no defined order."""
         pin_utc(df.sparkSession)
         keys = [order_by] if isinstance(order_by, str) else list(order_by)
+        if not keys:
+            raise ValueError("order_by needs at least one column")
+        if any(name.startswith(HIDDEN) for name in df.columns):
+            raise ValueError(f"column names that start with `{HIDDEN}` are reserved")
         order, hidden = [], []
         for i, key in enumerate(keys):
             name, _, direction = key.partition(" ")

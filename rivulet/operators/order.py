@@ -147,7 +147,7 @@ def numbered(items: Items, name: str) -> DataFrame:
     """
     if items.max_rows is not None and items.max_rows <= TOP_K_ROWS:
         window = Window.orderBy(*items.sort_columns())
-        return items.df.withColumn(name, F.row_number().over(window))
+        return items.df.withColumn(name, F.row_number().over(window).cast("bigint"))
     keys = items.sort_columns()
     sorted_parts = checkpointed(
         items.df.repartitionByRange(*keys).sortWithinPartitions(*keys)

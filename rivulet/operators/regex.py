@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 from rivulet.functions import views
 from rivulet.functions.dialect import Pattern, spark_pattern, spark_replacement
-from rivulet.items import DYNAMIC_COLUMN, Items, quoted, strip_item
+from rivulet.items import DYNAMIC_COLUMN, Items, quoted, refuse_case_twins, strip_item
 
 
 def regex(
@@ -83,6 +83,7 @@ def _extract(items: Items, path: str, pattern: Pattern) -> Items:
         for name, tmp in zip(groups, names):
             df = _put(df, quoted(tmp).isNotNull(), name, quoted(tmp))
         return items.with_df(df.drop(*names))
+    refuse_case_twins(items.df.sparkSession, [*items.columns, *groups])
     columns = {}
     for name, value in groups.items():
         if name in items.columns:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F, types as T
 
 from rivulet.functions import views
-from rivulet.items import DYNAMIC_COLUMN, Items, quoted, strip_item
+from rivulet.items import DYNAMIC_COLUMN, Items, quoted, refuse_case_twins, strip_item
 
 # Operation names and how many field names each takes.
 OPERATIONS = {"rename": 2, "copy": 2, "drop": 1}
@@ -50,7 +50,7 @@ def _typed(items: Items, parsed: list[tuple[str, list[str]]]) -> Items:
         columns[new] = _over(source, columns.get(new))
         if op == "rename":
             del columns[old]
-    _refuse_case_twins(items, columns)
+    refuse_case_twins(items.df.sparkSession, columns)
     data = [col.alias(name) for name, (col, _) in columns.items()]
     return items.with_df(items.df.select(*data, *[quoted(h) for h in items.hidden]))
 
@@ -64,19 +64,6 @@ def _over(
     return F.coalesce(views.as_type(*source, dtype), views.as_type(*target, dtype)), dtype
 
 
-def _refuse_case_twins(items: Items, names) -> None:
-    if items.df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
-        return
-    seen: dict[str, str] = {}
-    for name in names:
-        twin = seen.setdefault(name.lower(), name)
-        if twin != name:
-            raise ValueError(
-                f"fields `{twin}` and `{name}` differ only in case: set "
-                "spark.sql.caseSensitive=true or use dynamic items"
-            )
-
-
 def _dynamic(items: Items, parsed: list[tuple[str, list[str]]]) -> Items:
     df = items.df
     item = quoted(DYNAMIC_COLUMN)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F, types as T
 
 from rivulet.functions import views
-from rivulet.items import HIDDEN, Items, OrderKey, quoted
+from rivulet.items import HIDDEN, Items, OrderKey, quoted, refuse_case_twins
 
 
 @dataclass(frozen=True)
@@ -37,6 +37,7 @@ def union(streams: Sequence[Items]) -> Items:
     wire = f"{HIDDEN}0"
     slot_names = [f"{HIDDEN}{i + 1}" for i in range(len(slots))]
     columns = _merged_columns(streams)
+    refuse_case_twins(streams[0].df.sparkSession, columns)
 
     merged = None
     for number, (stream, place) in enumerate(zip(streams, places)):
