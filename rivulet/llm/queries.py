@@ -41,7 +41,7 @@ def op8_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # What a line-first rule says of one line, in DuckDB's words.
 _FAILED = f"""
   CASE WHEN word_chars = 0 THEN false
-       WHEN NOT regexp_matches(line, '{rules.LETTER}') THEN true
+       WHEN NOT regexp_matches(line, '[\\p{{L}}\\p{{N}}]') THEN true
        WHEN n_separators >= {rules.MENU_SEPARATORS}
             AND n_separators * 100 >= n_words * {rules.MENU_SHARE} THEN true
        WHEN n_symbols * 100 > word_chars * {rules.SYMBOL_SHARE} THEN true
@@ -67,7 +67,7 @@ WITH docs AS (
   SELECT doc_id, line, len(words) AS n_words,
          length(array_to_string(words, '')) AS word_chars,
          len(list_filter(words, lambda w: regexp_full_match(w, '{rules.SEPARATORS}+'))) AS n_separators,
-         len(regexp_extract_all(line, '{rules.SYMBOL}')) AS n_symbols
+         len(regexp_extract_all(line, '[{rules.SYMBOLS}]')) AS n_symbols
   FROM lines
 ), judged AS (SELECT *, {_FAILED} AS failed FROM measured
 ), by_doc AS (
