@@ -25,6 +25,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which is cheap to read, marked for broadcast if it has at most ``rows``
+    rows; beyond that Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def training_row(doc_id) -> Column:
     """Rows that models may learn labels from; the others are held out."""
     return fold(doc_id) != 2

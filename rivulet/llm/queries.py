@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rivulet.llm import ann, bytebpe, chat, language, packing, rules, tokens
+from rivulet.llm import ann, bytebpe, chat, language, packing, rules, tokens, toxicity
 from rivulet.llm.common import fold, table, training_row
 
 TOKEN_LIMIT = 2048
@@ -58,6 +58,13 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
     )
 
 
+def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    models = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, models)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = table(spark, sf_dir, "documents").select(
         "doc_id", rules.clean_lines(F.col("text")).alias("rules")
@@ -142,6 +149,7 @@ QUERIES = {
         op2_grammar_round_trip,
         op4_inverted_multi_index,
         op5_sum_of_squares_packing,
+        op7_kneser_ney_toxicity,
         op8_line_first_rules,
         op9_rank_synchronous_counts,
         op10_piece_bpe_round_trip,
