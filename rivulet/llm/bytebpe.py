@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import base64
 import struct
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from rivulet.llm.common import map_texts
+from rivulet.llm.common import map_texts, parts
 from rivulet.llm.pretokens import byte_level
 
 MEMO_WORDS = 300_000
@@ -125,11 +125,18 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
-    """``df`` with ``decoded``, the bytes behind the ids; null ids decode to null."""
+    """``df`` with ``decoded``, the bytes behind the ids; null ids decode to null. A
+    column that has that name already is replaced."""
+    coded = df.drop("decoded")
+    place = coded.columns.index(ids_col)
 
-    @F.pandas_udf("binary")
-    def decoded(ids: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
-        return ids.map(lambda i: None if i is None else coder.decode(i))
-
-    return df.withColumn("decoded", decoded(ids_col))
+        for batch in batches:
+            for part in parts(batch, place):
+                ids = part.column(place).to_pylist()
+                decoded = [None if i is None else coder.decode(i) for i in ids]
+                yield part.append_column("decoded", pa.array(decoded, pa.binary()))
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields]
+    return coded.mapInArrow(run, ", ".join([*fields, "decoded binary"]))

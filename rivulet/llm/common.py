@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session's checkpoints go to."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written once to the shared checkpoint folder, so that later readers neither
     repeat the work nor depend on the executors that did it."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rivulet.llm import ann, bytebpe, chat, language, packing, rules, tokens, toxicity
+from rivulet.llm import ann, bytebpe, chat, language, neardup, packing, quality, rules, tokens, toxicity
 from rivulet.llm.common import fold, table, training_row
 
 TOKEN_LIMIT = 2048
@@ -35,6 +35,11 @@ def op2_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(hard)))
 
 
+def op3_dart_minhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = neardup.classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
@@ -58,6 +63,21 @@ def packed_pieces(docs: DataFrame) -> DataFrame:
     )
 
 
+def op6_hierarchical_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.col("__posterior").alias("score"),
+        (F.col("__posterior") >= quality.THRESHOLD).alias("kept"),
+    )
+
+
+def quality_judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A source is the host, and its pages in one language are a path of it."""
+    return quality.classify(docs, labels, host_col="source", path_col="lang")
+
+
 def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -147,8 +167,10 @@ QUERIES = {
     for query in (
         op1_bitmask_language_filters,
         op2_grammar_round_trip,
+        op3_dart_minhash_classes,
         op4_inverted_multi_index,
         op5_sum_of_squares_packing,
+        op6_hierarchical_bayes_quality,
         op7_kneser_ney_toxicity,
         op8_line_first_rules,
         op9_rank_synchronous_counts,
