@@ -20,23 +20,51 @@ COORDINATES = BANDS * BAND_ROWS
 # Each round compares the members of every open bucket with one more of them.
 ROUNDS = 4
 BROADCAST_ROWS = 1_000_000
+# Distinct words whose hashes a Python worker keeps before it starts anew.
+MEMO_WORDS = 500_000
 _U64 = np.uint64
 _PRIME = 0x100000001B3
 
 
-def shingle_hashes(text: str | None, memo: dict[str, int] | None = None) -> np.ndarray:
-    """Distinct hashes of all runs of five words in lower case; a text with fewer words
-    is one shingle, a text without words has none."""
-    words = (text or "").lower().encode().split()
-    if not words:
-        return np.zeros(0, _U64)
-    memo = {} if memo is None else memo
-    coded = np.array([memo.get(w) or memo.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words], _U64)
-    width = min(SHINGLE_WORDS, len(words))
-    mixed = np.zeros(len(words) - width + 1, _U64)
-    for place in range(width):
-        mixed = mixed * _U64(_PRIME) + coded[place : len(words) - width + 1 + place]
-    return np.unique(_mix(mixed, 0))
+class Shingler:
+    """Distinct hashes of all runs of five words in lower case, for many texts at once.
+    A text with fewer words is one shingle, a text without words has none."""
+
+    def __init__(self):
+        self.memo: dict[bytes, int] = {}
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes, text after text and sorted within each, and how many each has."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        memo, coded, sizes = self.memo, [], []
+        for text in texts:
+            words = (text or "").lower().encode().split()
+            for word in words:
+                if word not in memo:
+                    memo[word] = xxhash.xxh64_intdigest(word)
+            coded += map(memo.__getitem__, words)
+            sizes.append(len(words))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        words = np.array(coded, _U64)
+        # Every run of up to five words; those that are cut short by the end of a text
+        # count only where the text itself is as short.
+        mixed = np.zeros(len(words), _U64)
+        inside = np.zeros(len(words), np.int64)
+        for place in range(SHINGLE_WORDS):
+            there = slice(0, max(len(words) - place, 0))
+            same = owner[there] == owner[place:]
+            mixed[there] = np.where(same, mixed[there] * _U64(_PRIME) + words[place:], mixed[there])
+            inside[there] += same
+        starts = np.cumsum(sizes) - sizes
+        first = np.arange(len(words)) == starts[owner] if len(words) else np.zeros(0, bool)
+        full = (inside == SHINGLE_WORDS) | first
+        hashes, owner = _mix(mixed[full], 0), owner[full]
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        return hashes[new], np.bincount(owner[new], minlength=len(sizes))
 
 
 def _mix(values: np.ndarray, salt: int) -> np.ndarray:
@@ -51,9 +79,12 @@ def _uniform(values: np.ndarray) -> np.ndarray:
     return (values >> _U64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
-def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
-    """The earliest dart in each coordinate: two signatures agree in a coordinate with
-    probability equal to the weighted Jaccard similarity of the two sets.
+def dart_signatures(
+    elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, coordinates: int = COORDINATES
+) -> np.ndarray:
+    """The earliest dart in each coordinate, a row for each of the sets that stand one
+    after the other: two rows agree in a coordinate with probability equal to the
+    weighted Jaccard similarity of the two sets. A set without weight has zeros.
 
     The region of an element is as wide as its weight, in cells of width one. Darts
     fall on a cell one after the other as a Poisson process that hashing of element
@@ -61,50 +92,51 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, coordinates: int =
     counts if it lies within the weight. Darts up to a time that fills all coordinates
     are thrown, which is about k ln k + 2 k of them whatever the size of the set.
     """
-    signature = np.zeros(coordinates, _U64)
-    total = float(weights.sum())
-    if not total:
-        return signature
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    totals = np.bincount(owner, weights, minlength=len(sizes))
     cells = np.repeat(np.arange(len(elements)), np.ceil(weights).astype(np.int64))
     level = np.arange(len(cells)) - np.searchsorted(cells, cells)
     region = _mix(elements[cells] ^ _mix(level.astype(_U64), 1), 2)
-    room = weights[cells] - level
-    until = (coordinates * math.log(coordinates) + 2 * coordinates) / total
-    while True:
-        darts, times = _thrown(region, room, until)
-        place = (_mix(darts, 3) % _U64(coordinates)).astype(np.int64)
+    room, owner = weights[cells] - level, owner[cells]
+    enough = coordinates * math.log(coordinates) + 2 * coordinates
+    until = enough / np.where(totals > 0, totals, 1.0)
+    signatures = np.zeros(len(sizes) * coordinates, _U64)
+    waiting = totals > 0
+    while waiting.any():
+        mine = waiting[owner]
+        darts, times, of = _thrown(region[mine], room[mine], owner[mine], until)
+        place = of * coordinates + (_mix(darts, 3) % _U64(coordinates)).astype(np.int64)
         order = np.argsort(-times, kind="stable")
-        signature[:] = 0
-        filled = np.zeros(coordinates, bool)
-        signature[place[order]] = darts[order]  # the earliest is written last
-        filled[place] = True
-        if filled.all():
-            return signature
+        signatures[place[order]] = darts[order]  # the earliest is written last
+        filled = np.bincount(np.unique(place) // coordinates, minlength=len(sizes))
+        waiting &= filled < coordinates
         until *= 2
+    return signatures.reshape(len(sizes), coordinates)
 
 
-def _thrown(region: np.ndarray, room: np.ndarray, until: float) -> tuple[np.ndarray, np.ndarray]:
-    """Darts on the cells up to a time, and their times."""
-    darts, times = [], []
+def _thrown(
+    region: np.ndarray, room: np.ndarray, owner: np.ndarray, until: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Darts on the cells up to their set's time, their times and sets."""
+    found = []
     time, turn = np.zeros(len(region)), 0
     while len(region):
         turn += 1
         dart = _mix(region, 4 + turn)
         time = time - np.log(_uniform(_mix(dart, 5)))
-        early = time < until
-        region, room, time, dart = region[early], room[early], time[early], dart[early]
+        early = time < until[owner]
+        region, room, owner, time, dart = (x[early] for x in (region, room, owner, time, dart))
         inside = _uniform(_mix(dart, 6)) < room
-        darts.append(dart[inside])
-        times.append(time[inside])
-    return np.concatenate(darts or [region]), np.concatenate(times or [time])
+        found.append((dart[inside], time[inside], owner[inside]))
+    return tuple(map(np.concatenate, zip(*found)))
 
 
-def band_keys(signature: np.ndarray) -> list[int]:
-    """One 64-bit key for each band of the signature, the band itself hashed in."""
-    keys = np.zeros(BANDS, _U64) + np.arange(BANDS, dtype=_U64)
-    for column in signature.reshape(BANDS, BAND_ROWS).T:
-        keys = _mix(keys ^ column, 7)
-    return keys.astype(np.int64).tolist()
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band of each signature, the band itself hashed in."""
+    keys = np.zeros((len(signatures), BANDS), _U64) + np.arange(BANDS, dtype=_U64)
+    for row in range(BAND_ROWS):
+        keys = _mix(keys ^ signatures[:, row::BAND_ROWS], 7)
+    return keys.view(np.int64)
 
 
 def _copy_of(text: Column) -> Column:
@@ -116,17 +148,13 @@ def _bands(docs: DataFrame) -> DataFrame:
     """copy and bands of the different texts that have a word."""
 
     def worker():
-        memo: dict[str, int] = {}
+        shingler = Shingler()
 
         def work(texts: list[str | None]) -> list[pa.Array]:
-            found = []
-            for text in texts:
-                if len(memo) > 500_000:
-                    memo.clear()
-                shingles = shingle_hashes(text, memo)
-                signature = dart_signature(shingles, np.ones(len(shingles)))
-                found.append(band_keys(signature) if len(shingles) else [])
-            return [pa.array(found, pa.list_(pa.int64()))]
+            shingles, sizes = shingler(texts)
+            keys = band_keys(dart_signatures(shingles, np.ones(len(shingles)), sizes))
+            rows = [own if n else [] for own, n in zip(keys.tolist(), sizes)]
+            return [pa.array(rows, pa.list_(pa.int64()))]
 
         return work
 
@@ -149,16 +177,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = pairs.join(left, "copy").join(right, "hub").select("copy", "hub", "own", "other")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
+        shingler = Shingler()
         for batch in batches:
             for part in parts(batch, 2):
-                if len(memo) > 500_000:
-                    memo.clear()
-                similar, last, hub_shingles = [], None, None
-                for hub, own, other in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                    if hub != last:
-                        last, hub_shingles = hub, shingle_hashes(other, memo)
-                    similar.append(jaccard(shingle_hashes(own, memo), hub_shingles) >= SIMILARITY)
+                own, other = (np.split(h, np.cumsum(n)[:-1]) for h, n in (shingler(part.column(i).to_pylist()) for i in (2, 3)))
+                similar = [jaccard(a, b) >= SIMILARITY for a, b in zip(own, other)]
                 yield part.select(["copy", "hub"]).filter(pa.array(similar, pa.bool_()))
 
     return both.mapInArrow(check, "copy binary, hub binary")
@@ -204,10 +227,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = rows.where(F.col("text").isNotNull()).withColumn("copy", _copy_of(F.col("text")))
-    bands = _bands(docs).select("copy", F.explode("bands").alias("key"))
+    bands = stored(_bands(docs)).select("copy", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Only rows that meet another go on; this is the one join of all bands.
-    open_rows = stored(stored(bands).join(sizes.select("key"), "key", "left_semi"))
+    open_rows = stored(bands.join(sizes.select("key"), "key", "left_semi"))
     edges = tried = labels = None
     for turn in range(ROUNDS):
         known = open_rows.withColumn("component", F.col("copy"))

@@ -15,8 +15,25 @@ from rivulet.llm import ann, neardup, queries
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text: str | None) -> set | None:
+    if text is None:
+        return None
+    words = text.lower().encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_shingles_of_many_texts_at_once():
+    texts = [None, "", "a b", "a b c d e", "a b c d e f a b c d e", "A B", "x", "", "a b c d e f"]
+    hashes, sizes = neardup.Shingler()(texts)
+    own = np.split(hashes, np.cumsum(sizes)[:-1])
+    assert sizes.tolist() == [len(shingles(t) or ()) for t in texts]
+    for a, x in zip(texts, own):
+        for b, y in zip(texts, own):
+            assert len(np.intersect1d(x, y)) == len((shingles(a) or set()) & (shingles(b) or set()))
+
+
 def brute_classes(rows: list[tuple[int, str | None]]) -> dict[int, int]:
-    sets = [set(neardup.shingle_hashes(t).tolist()) if t is not None else None for _, t in rows]
+    sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -77,12 +94,15 @@ def test_signatures_estimate_weighted_similarity():
     wb[:120] = wa[:120]
     wa[250:], wb[200:250] = 0, 0
     k = 4000
-    a = neardup.dart_signature(elements, wa, k)
-    b = neardup.dart_signature(elements[::-1].copy(), wb[::-1].copy(), k)
+    both = np.r_[elements, elements[::-1]]
+    a, b = neardup.dart_signatures(both, np.r_[wa, wb[::-1]], np.array([300, 300]), k)
     similarity = np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()
     assert abs((a == b).mean() - similarity) < 4 * np.sqrt(similarity * (1 - similarity) / k)
-    few = neardup.dart_signature(elements[:2], np.ones(2), 120)
-    assert set(few.tolist()) - {0} and len(few) == 120
+    sizes = np.array([2, 0, 5])
+    few = neardup.dart_signatures(elements[:7], np.ones(7), sizes, 120)
+    assert few[0].all() and not few[1].any() and few[2].all()
+    alone = neardup.dart_signatures(elements[2:7], np.ones(5), np.array([5]), 120)
+    assert (few[2] == alone[0]).all()
 
 
 def test_components_of_chains_and_stars(spark):
