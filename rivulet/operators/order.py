@@ -10,14 +10,6 @@ from rivulet.functions import views
 from rivulet.items import Field, Items, OrderKey, quoted
 from rivulet.session import checkpointed
 
-# How a cut runs depends on its size, because the last task of Spark's top-k
-# receives that many rows from every map task. Small cuts are one top-k; larger
-# ones are thinned out in parallel buckets before; beyond TOP_K_ROWS, where
-# Spark no longer limits groups on the map side, rows are numbered in parallel.
-DIRECT_TOP_K_ROWS = 100
-TOP_K_ROWS = 1_000
-TOP_K_BUCKETS = 64
-
 # monotonically_increasing_id() is (partition << 33) + row within the partition.
 ROW_BITS = 33
 
@@ -102,33 +94,14 @@ def _row_count(n) -> int:
 
 
 def limit(items: Items, n: int) -> Items:
-    """The first ``n`` items."""
+    """The first ``n`` items. One lazy plan for every ``n``: each task keeps its own
+    first ``n``, and the first ``n`` of those are the result, so what moves is at most
+    ``n`` rows a task and the input is neither sorted nor stored."""
     items.require_batch("limit")
     n = _row_count(n)
     if items.max_rows is not None and items.max_rows <= n:
         return items
-    if n <= TOP_K_ROWS:
-        df = items.df if n <= DIRECT_TOP_K_ROWS else _thinned(items, n)
-        df = df.orderBy(*items.sort_columns()).limit(n)
-    else:
-        pos = items.fresh_hidden(1)[0]
-        df = numbered(items, pos).where(quoted(pos) <= n).drop(pos)
-    return items.with_df(df, max_rows=n)
-
-
-def _thinned(items: Items, n: int) -> DataFrame:
-    """The first ``n`` rows of every bucket, which include the first ``n`` of
-    all. Rows fall into buckets by a hash of their place, which spreads them
-    whatever the data."""
-    bucket, rank = items.fresh_hidden(2)
-    place = F.xxhash64(*[quoted(key.column) for key in items.order])
-    window = Window.partitionBy(bucket).orderBy(*items.sort_columns())
-    return (
-        items.df.withColumn(bucket, F.pmod(place, F.lit(TOP_K_BUCKETS)))
-        .withColumn(rank, F.row_number().over(window))
-        .where(quoted(rank) <= n)
-        .drop(bucket, rank)
-    )
+    return items.with_df(items.df.orderBy(*items.sort_columns()).limit(n), max_rows=n)
 
 
 def tail(items: Items, n: int) -> Items:
@@ -140,14 +113,10 @@ def tail(items: Items, n: int) -> Items:
 def numbered(items: Items, name: str) -> DataFrame:
     """All columns plus the 1-based place in the order.
 
-    A bounded result is numbered by one window. Anything else is range
-    partitioned by the order and checkpointed, so that partitions and the rows
-    in them stay fixed; then the number is the rows in earlier partitions plus
-    the row's place in its own. Only one row per partition meets in one task.
+    The input is range partitioned by the order and checkpointed, so that partitions
+    and the rows in them stay fixed; then the number is the rows in earlier partitions
+    plus the row's place in its own. Only one row per partition meets in one task.
     """
-    if items.max_rows is not None and items.max_rows <= TOP_K_ROWS:
-        window = Window.orderBy(*items.sort_columns())
-        return items.df.withColumn(name, F.row_number().over(window).cast("bigint"))
     keys = items.sort_columns()
     sorted_parts = checkpointed(
         items.df.repartitionByRange(*keys).sortWithinPartitions(*keys)

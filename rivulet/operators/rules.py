@@ -49,53 +49,41 @@ def parse_float(text: str) -> float | None:
 
 
 def parse_rule(text: str) -> Rule:
-    parts = text.split(maxsplit=2)
-    if not parts:
-        raise ValueError("empty rule")
-    if len(parts) == 1:
-        raise ValueError(f"rule `{text.strip()}` is missing an operator")
-    field, op = strip_item(parts[0]), parts[1]
+    words = text.split(maxsplit=2)
+    if len(words) < 3:
+        raise ValueError(f"a rule is `field operator value`, which `{text.strip()}` is not")
+    field, op, value = words
     if op not in OPERATORS:
-        raise ValueError(f"unknown operator `{op}` (expected {', '.join(OPERATORS)})")
-    if len(parts) == 2:
-        raise ValueError(f"rule `{text.strip()}` is missing a value")
-    return Rule(field, op, _parse_value(parts[2].strip()))
-
-
-def _parse_value(text: str) -> float | str | timedelta:
-    if text[0] in "\"'":
-        quote = text[0]
-        if len(text) < 2 or text[-1] != quote:
-            raise ValueError(f"unclosed {quote} quote in `{text}`")
-        return text[1:-1]
+        raise ValueError(f"no such operator: `{op}`; use one of {' '.join(OPERATORS)}")
+    return Rule(strip_item(field), op, rule_value(value.rstrip()))
+
+
+# The three forms of a value that are not bare text.
+QUOTED = re.compile(r"""(["'])(?P<inside>.*)\1""", re.DOTALL)
+CLOCK = re.compile(r"now(?:\s*(?P<sign>[+-])\s*(?P<amount>[^\s].*?)\s*(?P<unit>[mhdw]))?")
+
+
+def rule_value(text: str) -> float | str | timedelta:
+    """Quoted text, a date by the clock, a number, or else the text as it stands."""
+    if text.startswith(("'", '"')):
+        quoted = QUOTED.fullmatch(text)
+        if quoted is None:
+            raise ValueError(f"value {text} needs its closing quote")
+        return quoted["inside"]
     if text.startswith("now"):
-        try:
-            return _offset(text[3:].strip())
-        except ValueError as problem:
-            raise ValueError(f"bad relative date `{text}`: {problem}") from None
+        return _clock_offset(text)
     number = parse_float(text)
     return text if number is None else number
 
 
-def _offset(text: str) -> timedelta:
-    """``+ 1.5h`` as a duration in whole seconds; nothing at all means zero."""
-    if not text:
-        return timedelta()
-    sign, rest = text[0], text[1:].strip()
-    if sign not in "+-":
-        raise ValueError("expected `+` or `-` after `now`")
-    if not rest or not rest.isascii():
-        raise ValueError("expected a duration like `2d`")
-    amount, unit = rest[:-1], rest[-1]
-    number = parse_float(amount.strip())
-    if number is None:
-        raise ValueError(f"`{amount}` is not a number")
-    if unit not in UNITS:
-        raise ValueError(f"unknown unit `{unit}` (expected m, h, d, or w)")
-    seconds = number * UNITS[unit] * (-1 if sign == "-" else 1)
-    if not math.isfinite(seconds):
-        raise ValueError(f"`{amount}` is out of range")
-    return timedelta(seconds=math.trunc(seconds))
+def _clock_offset(text: str) -> timedelta:
+    """How far from ``now`` the date lies, cut to whole seconds."""
+    found = CLOCK.fullmatch(text)
+    amount = parse_float(found["amount"] or "0") if found else None
+    if amount is None or not math.isfinite(amount):
+        raise ValueError(f"date `{text}` must look like now, now + 2d or now - 1.5h (units: {' '.join(UNITS)})")
+    seconds = math.trunc(amount * UNITS[found["unit"] or "m"])
+    return timedelta(seconds=-seconds if found["sign"] == "-" else seconds)
 
 
 def plain_number(value: float) -> str:

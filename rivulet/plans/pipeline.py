@@ -13,8 +13,10 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 from pathlib import Path
+from time import perf_counter
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -289,8 +291,7 @@ class Pipeline:
         observe: bool = False,
         persist_shared: bool = False,
     ) -> Composition:
-        """Call every step (or only those that feed node ``upto``). No job runs,
-        except where a cut of more rows than a top-k needs numbered rows.
+        """Call every step (or only those that feed node ``upto``). No job runs.
 
         ``observe`` counts each node's items as they stream by in whatever job
         runs next. ``persist_shared`` keeps the output of nodes that feed several
@@ -346,8 +347,8 @@ class Pipeline:
             }
             items = step.call(context, [s.items for s in upstream], args)
             node = replace(node, args=args)
-        except ValueError as problem:
-            return NodeResult(node, "failed", error=str(problem))
+        except Exception as problem:  # whatever a step raises is that node's failure
+            return NodeResult(node, "failed", error=str(problem) or type(problem).__name__)
         if not observe:
             return NodeResult(node, "ok", items)
         observed = Observation(f"node_{node.id}")
@@ -380,6 +381,19 @@ class Pipeline:
         return composition
 
 
+def _observed_items(result: NodeResult) -> int | None:
+    """What a pass that has ended counted. Spark leaves plans that it knows to be empty
+    out of a pass, and what feeds them with it: those are counted by themselves."""
+    if result.observed is None:
+        return None
+    try:
+        return result.observed.get["items"]
+    except Py4JJavaError as problem:
+        if "AssertionError" not in str(problem.java_exception):
+            raise
+        return result.items.df.count()
+
+
 @dataclass
 class Composition:
     """The items of every node of one pipeline."""
@@ -428,27 +442,49 @@ class Composition:
         return cards(self.output, self.context.now)
 
     def report(self) -> list[dict]:
-        """Status, error and item count per node. For an observed composition
-        the counts come from one pass over each final node."""
-        final = set(self.results) - {
-            w.source for w in self.pipeline.wires if w.target in self.results
-        }
-        if any(r.observed for r in self.results.values()):
-            for node_id in sorted(final):
-                if self.results[node_id].items:
-                    df = self.results[node_id].items.df
-                    df.write.format("noop").mode("overwrite").save()
+        """Status, error, item count and seconds per node. For an observed composition
+        the counts come from one pass over each node that no other composed node reads;
+        its seconds are those of the pass, which its upstream nodes share. A pass that
+        fails marks its node ``failed``; nodes that only such a pass reaches have no
+        count."""
+        done, seconds = set(), {}
+        for node_id in self._deepest():
+            result = self.results[node_id]
+            if result.observed is None:
+                continue
+            start = perf_counter()
+            try:
+                result.items.df.write.format("noop").mode("overwrite").save()
+                done |= self._feeding(node_id)
+            except Exception as problem:
+                result.status, result.error = "failed", str(problem)
+            seconds[node_id] = perf_counter() - start
         return [
             {
                 "node": node_id,
                 "kind": result.node.kind,
                 "status": result.status,
                 "error": result.error,
-                "items": result.observed.get["items"] if result.observed else None,
+                "items": _observed_items(result) if node_id in done else None,
+                "seconds": seconds.get(node_id),
             }
             for node_id, result in sorted(self.results.items())
         ]
 
+    def _deepest(self) -> list[int]:
+        """Composed nodes that feed no other composed node."""
+        good = {i for i, r in self.results.items() if r.status == "ok"}
+        return sorted(good - {w.source for w in self.pipeline.wires if w.target in good})
+
+    def _feeding(self, node_id: int) -> set[int]:
+        found, waiting = set(), [node_id]
+        while waiting:
+            here = waiting.pop()
+            if here not in found:
+                found.add(here)
+                waiting += self.pipeline.inputs_of(here)
+        return found
+
     def counts(self) -> DataFrame:
         """Item count per node as a lazy DataFrame."""
         merged = None

@@ -36,12 +36,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Materialize ``df`` reliably, keeping its partitions and row order."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a scan over the cores if it has fewer splits than there
-    are cores, for work that is heavy per row. Any larger scan is left alone, so
-    this adds no shuffle where there is much to shuffle. ``df`` must be a plain
-    scan: counting its splits then runs no job."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

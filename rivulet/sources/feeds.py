@@ -53,7 +53,8 @@ def _first(values: Column) -> Column:
 
 
 def _date(*texts: Column) -> Column:
-    return moment_text(F.coalesce(*[moment_from_text(t) for t in texts]))
+    """The first text that is a date, read once; texts after it are not read."""
+    return let(F.coalesce(*[moment_from_text(t) for t in texts]), moment_text)
 
 
 def _item(guid, title, link, description, content, date, author) -> Column:
@@ -102,29 +103,44 @@ def _xml_entries(root: Column, feed: Column) -> Column:
         F.transform(feed["channel"]["item"], _rss_item), F.transform(feed["item"], _rss_item)
     )
     found = F.when(root == "feed", F.transform(feed["entry"], _atom_item)).otherwise(rss)
-    well_formed = feed.isNotNull() & feed["_corrupt_record"].isNull()
-    return F.when(well_formed, F.coalesce(found, _none()))
+    return F.coalesce(found, _none())
 
 
 def _json_entries(feed: Column) -> Column:
-    found = F.coalesce(F.transform(feed["items"], _json_item), _none())
-    return F.when(feed["version"].contains("jsonfeed.org"), found)
+    return F.coalesce(F.transform(feed["items"], _json_item), _none())
 
 
 def _none() -> Column:
     return F.array().cast(f"array<{ITEM_TYPE}>")
 
 
-def _entries(body: Column) -> Column:
-    """The entries of one body in order, NULL if it is no feed."""
+def _parsed(bodies: DataFrame) -> DataFrame:
+    """url and the parsed form of each body, xml or json; both null if it is no feed. A
+    byte-order mark in front is dropped."""
+    body = F.regexp_replace(F.col("body"), "^\uFEFF", "")
     root = F.regexp_extract(body, ROOT_PATTERN, 1)
-    xml = let(F.from_xml(body, XML_SCHEMA), lambda feed: _xml_entries(root, feed))
-    json = let(F.from_json(body, JSON_SCHEMA), _json_entries)
-    return F.when(root.isin("rss", "rdf:RDF", "feed"), xml).when(body.rlike(r"^\s*\{"), json)
+    parsed = F.struct(
+        root.alias("root"),
+        F.when(root.isin("rss", "rdf:RDF", "feed"), F.from_xml(body, XML_SCHEMA)).alias("xml"),
+        F.when(body.rlike(r"^\s*\{"), F.from_json(body, JSON_SCHEMA)).alias("json"),
+    )
+    return require_bodies(bodies).select("url", parsed.alias("feed"))
+
+
+def _is_feed(feed: Column) -> Column:
+    """Told by the parsers alone, without building an entry."""
+    xml = feed["xml"].isNotNull() & feed["xml"]["_corrupt_record"].isNull()
+    return xml | F.coalesce(feed["json"]["version"].contains("jsonfeed.org"), F.lit(False))
 
 
-def _exploded(bodies: DataFrame, entries: Column) -> Items:
-    df = bodies.select(
+def _entries(feed: Column) -> Column:
+    """The entries of one parsed feed in order."""
+    xml = _xml_entries(feed["root"], feed["xml"])
+    return F.when(feed["xml"].isNotNull(), xml).otherwise(_json_entries(feed["json"]))
+
+
+def _exploded(parsed: DataFrame, entries: Column) -> Items:
+    df = parsed.select(
         F.col("url").alias(SOURCE_KEY), F.posexplode(entries).alias(ITEM_KEY, "entry")
     )
     columns = [F.col("entry")[key].alias(key) for key in FEED_KEYS]
@@ -134,18 +150,17 @@ def _exploded(bodies: DataFrame, entries: Column) -> Items:
 def parse_feed_bodies(bodies: DataFrame) -> Parsed:
     """Items of landed feeds in (url, entry) order, with the bodies that are no
     feed set aside."""
-    entries = _entries(F.col("body"))
-    rejects = require_bodies(bodies).where(entries.isNull()).select(
-        "url", F.lit("cannot parse feed").alias("reason")
-    )
-    return Parsed(_exploded(bodies, entries), rejects)
+    parsed, feed = _parsed(bodies), F.col("feed")
+    rejects = parsed.where(~_is_feed(feed)).select("url", F.lit("cannot parse feed").alias("reason"))
+    return Parsed(_exploded(parsed.where(_is_feed(feed)), _entries(feed)), rejects)
 
 
 def feed_items(bodies: DataFrame) -> Items:
     """Like ``parse_feed_bodies``, but a malformed body fails the run."""
+    parsed, feed = _parsed(bodies), F.col("feed")
     failure = F.raise_error(F.concat(F.lit("cannot parse feed at "), F.col("url")))
-    entries = F.coalesce(_entries(F.col("body")), failure.cast(f"array<{ITEM_TYPE}>"))
-    return _exploded(require_bodies(bodies), entries)
+    entries = F.when(_is_feed(feed), _entries(feed)).otherwise(failure.cast(f"array<{ITEM_TYPE}>"))
+    return _exploded(parsed, entries)
 
 
 def read_feeds(spark: SparkSession, files: str | list[str]) -> Items:

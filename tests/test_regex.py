@@ -9,11 +9,12 @@ from rivulet.operators.regex import replaced
 
 
 def test_extract_named_groups(make):
-    records = [{"t": "[250] Big news"}, {"t": "plain"}, {"o": 1}]
+    records = [{"t": f"order {i}: {i * 3} x part-{i % 4}"} for i in range(6)] + [{"t": "no order"}, {"o": 1}]
     for items in (make.typed(records, "t string, o bigint"), make.dynamic(records)):
-        got = rows(items.regex("t", r"^\[(?<score>\d+)\]\s(?<rest>.*)", mode="extract"))
-        assert got[0] == {"t": "[250] Big news", "score": "250", "rest": "Big news"}
-        assert got[1:] == records[1:]
+        got = rows(items.regex("t", r": (?<count>[0-9]+) x (?<what>part-\d)$", mode="extract"))
+        assert got == [
+            r | ({"count": str(i * 3), "what": f"part-{i % 4}"} if i < 6 else {}) for i, r in enumerate(records)
+        ]
 
 
 def test_extract_tells_absent_groups_from_empty_ones(make):
@@ -35,10 +36,11 @@ def test_extract_group_names_with_underscores_and_over_a_number(make):
 
 
 def test_replace(make):
-    records = [{"t": "Rust and rust"}, {"n": 1}]
+    records = [{"t": "Color, colour and COLOR"}, {"t": "col our"}, {"n": 10}]
     for items in (make.typed(records, "t string, n bigint"), make.dynamic(records)):
-        assert column(items.regex("t", "(?i)rust", replacement="Iron"), "t") == ["Iron and Iron", None]
-        assert column(items.regex("n", "x", replacement="y"), "n") == [None, "1"]
+        got = column(items.regex("t", "(?i)colou?r", replacement="hue"), "t")
+        assert got == ["hue, hue and hue", "col our", None]
+        assert column(items.regex("n", "0", replacement="1"), "n") == [None, None, "11"]
 
 
 def test_replace_in_a_nested_field(make, spark):

@@ -1,6 +1,8 @@
 from datetime import timedelta
 from functools import reduce
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,19 +32,21 @@ def test_rule_forms(text, rule):
 @pytest.mark.parametrize(
     "text, part",
     [
-        ("", "empty rule"),
-        ("name", "missing an operator"),
-        ("name =~ x", "unknown operator"),
-        ("name <=", "missing a value"),
-        ("name == 'open", "unclosed"),
-        ("when > now / 2d", "expected `+` or `-`"),
-        ("when > now - 2y", "unknown unit"),
-        ("when > now - h", "is not a number"),
-        ("name contains nowhere", "bad relative date"),
+        ("", "rule"),
+        ("name", "name"),
+        ("name =~ x", "=~"),
+        ("name <=", "name <="),
+        ("name == 'open", "'open"),
+        ("name == '", "quote"),
+        ("when > now / 2d", "now / 2d"),
+        ("when > now - 2y", "now - 2y"),
+        ("when > now - h", "now - h"),
+        ("when > now - infd", "now - infd"),
+        ("name contains nowhere", "nowhere"),
     ],
 )
 def test_rule_errors(text, part):
-    with pytest.raises(ValueError, match=part.replace("+", r"\+")):
+    with pytest.raises(ValueError, match=re.escape(part)):
         parse_rule(text)
 
 

@@ -1,14 +1,16 @@
+from datetime import datetime
+
 import pytest
 
 from conftest import column, rows
 from rivulet import Items, union
 
+# Scores as numbers and as text, one of them missing, in no order at all.
 MIXED = [
-    {"title": "b", "score": 100},
-    {"title": "a", "score": "20"},
-    {"title": "none"},
-    {"title": "c", "score": 3},
+    {"title": f"n{i}", **({} if i == 5 else {"score": v if i % 2 else str(v)})}
+    for i, v in enumerate([31, 4, 159, 26, 5, 35, 8, 97, 9, -3])
 ]
+RANKED = sorted((m for m in MIXED if "score" in m), key=lambda m: float(m["score"]))
 
 
 def both(make, records, schema):
@@ -19,26 +21,25 @@ def both(make, records, schema):
 
 
 def test_sort_auto_numeric_over_numbers_and_numeric_text(make):
+    up = [m["title"] for m in RANKED]
     for items in both(make, MIXED, "title string, score string"):
-        assert column(items.sort("score"), "title") == ["c", "a", "b", "none"]
-        assert column(items.sort("score", "desc"), "title") == ["b", "a", "c", "none"]
+        assert column(items.sort("score"), "title") == [*up, "n5"]
+        assert column(items.sort("score", "desc"), "title") == [*up[::-1], "n5"]
 
 
 def test_sort_auto_falls_back_to_bytes(make):
-    words = [{"w": "pear"}, {"w": "Zoo"}, {"w": "apple"}, {"w": "10"}]
-    for items in both(make, words, "w string"):
-        assert column(items.sort("w"), "w") == ["10", "Zoo", "apple", "pear"]
+    words = [f"{c}{i % 3}{'é' * (i % 2)}" for i, c in enumerate("mZaQ9z_éA~0K")]
+    for items in both(make, [{"w": w} for w in words], "w string"):
+        assert column(items.sort("w"), "w") == sorted(words, key=str.encode)
 
 
 def test_sort_auto_dates_in_mixed_forms(make):
-    dates = [
-        {"d": "Sat, 15 Feb 2025 10:00:00 GMT"},
-        {"d": "2025-03-01T12:00:00Z"},
-        {"d": "2024-12-31"},
-    ]
-    for items in both(make, dates, "d string"):
-        got = column(items.sort("d", "desc"), "d")
-        assert got == [dates[1]["d"], dates[0]["d"], dates[2]["d"]]
+    moments = [datetime(2023, 1 + i % 12, 1 + 5 * i % 27, i % 24) for i in range(0, 40, 3)]
+    forms = ("%Y-%m-%dT%H:00:00Z", "%d %b %Y %H:00:00 +0000", "%Y-%m-%d %H:00:00")
+    dates = [{"d": m.strftime(forms[i % 3]), "i": i} for i, m in enumerate(moments)]
+    late_first = sorted(range(len(moments)), key=lambda i: (moments[i], -i), reverse=True)
+    for items in both(make, dates, "d string, i bigint"):
+        assert column(items.sort("d", "desc"), "i") == late_first
 
 
 def test_sort_mode_counts_what_does_not_parse_as_missing(make):
@@ -59,7 +60,7 @@ def test_sort_is_stable_and_survives_dropping_its_key(make):
 
 def test_sort_missing_field_and_bad_arguments(make):
     items = make.typed(MIXED, "title string, score string")
-    assert column(items.sort("nope"), "title") == ["b", "a", "none", "c"]
+    assert column(items.sort("nope"), "title") == [m["title"] for m in MIXED]
     for bad in ({"order": "up"}, {"compare": "smart"}):
         with pytest.raises(ValueError, match="must be"):
             items.sort("score", **bad)
@@ -87,45 +88,56 @@ def test_bad_cut(make, n):
         make.typed([{"l": "a"}], "l string").limit(n)
 
 
-@pytest.mark.parametrize("direct, top_k", [(5_000, 5_000), (10, 900), (5, 10)])
-def test_cuts_of_every_size(spark, monkeypatch, direct, top_k):
-    """One top-k, buckets before it, and numbered rows give the same."""
-    from rivulet.operators import order
-
-    monkeypatch.setattr(order, "DIRECT_TOP_K_ROWS", direct)
-    monkeypatch.setattr(order, "TOP_K_ROWS", top_k)
-    df = spark.range(2_000).selectExpr("id", "id % 7 AS k")
+def test_cuts_of_every_size(spark):
+    df = spark.range(3_000).selectExpr("id", "id % 7 AS k")
     items = Items.from_table(df, "id")
-    want = sorted(range(2_000), key=lambda i: (i % 7, i))
-    assert column(items.sort("k").limit(700), "id") == want[:700]
-    assert column(items.sort("k").tail(300), "id") == want[-300:]
+    want = sorted(range(3_000), key=lambda i: (i % 7, i))
+    for n in (1, 99, 1_700):
+        assert column(items.sort("k").limit(n), "id") == want[:n]
+        assert column(items.sort("k").tail(n), "id") == want[-n:]
     same = Items.from_table(spark.range(300).selectExpr("id", "0 AS k"), "k").limit(250)
-    assert len(set(column(same, "id"))) == 250  # equal places share a bucket
+    assert len(set(column(same, "id"))) == 250
     numbered = items.sort("k", "desc").positions().orderBy("pos").collect()
-    assert [r["pos"] for r in numbered] == list(range(1, 2_001))
-    assert [r["id"] for r in numbered] == sorted(range(2_000), key=lambda i: (-(i % 7), i))
+    assert [r["pos"] for r in numbered] == list(range(1, 3_001))
+    assert [r["id"] for r in numbered] == sorted(range(3_000), key=lambda i: (-(i % 7), i))
+    few = items.sort("k").limit(30).positions().orderBy("pos").collect()
+    assert [(r["pos"], r["id"]) for r in few] == list(enumerate(want[:30], 1))
+
+
+@pytest.mark.parametrize("n", [10, 1_000, 1_001, 50_000])
+def test_a_cut_is_one_lazy_top_k(spark, n):
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = jobs()
+    cut = Items.from_table(spark.range(90_000).toDF("id"), "id").sort("id", "desc").limit(n)
+    plan = cut.df._jdf.queryExecution().executedPlan().toString()
+    assert jobs() == before
+    assert f"TakeOrderedAndProject(limit={n}," in plan and "rangepartitioning" not in plan
 
 
 def test_checkpoint_keeps_items_and_order(make):
     items = make.typed(MIXED, "title string, score string").sort("score").checkpoint()
-    assert column(items.reverse(), "title") == ["none", "b", "a", "c"]
+    assert column(items.reverse(), "title") == ["n5", *(m["title"] for m in RANKED[::-1])]
 
 
 # --- unique ------------------------------------------------------------------
 
 
 def test_unique_first_wins_and_missing_stay(make):
-    links = [
-        {"t": "a", "u": "1"},
-        {"t": "b"},
-        {"t": "dup", "u": "1"},
-        {"t": "c", "u": "2"},
-        {"t": "d"},
-    ]
-    for items in both(make, links, "t string, u string"):
-        assert column(items.unique("u"), "t") == ["a", "b", "c", "d"]
-        assert column(items.reverse().unique("u").reverse(), "t") == ["b", "dup", "c", "d"]
-        assert column(items.unique("nope"), "t") == ["a", "b", "dup", "c", "d"]
+    # Every third record has no link, the others share seven.
+    records = [{"t": f"r{i}", **({"u": f"x{i * i % 7}"} if i % 3 else {})} for i in range(30)]
+
+    def firsts(rows):
+        seen, out = set(), []
+        for r in rows:
+            if "u" not in r or r["u"] not in seen:
+                seen |= {r["u"]} if "u" in r else set()
+                out.append(r["t"])
+        return out
+
+    for items in both(make, records, "t string, u string"):
+        assert column(items.unique("u"), "t") == firsts(records)
+        assert column(items.reverse().unique("u").reverse(), "t") == firsts(records[::-1])[::-1]
+        assert column(items.unique("nope"), "t") == [r["t"] for r in records]
 
 
 def test_unique_goes_by_text(make):

@@ -8,7 +8,7 @@ from rivulet import Items
 from rivulet.functions.cards import age_label, cards, feed_summary, snippet, url_domain
 from rivulet.sinks import document_parts, fragment
 from rivulet.sources import csv_items, feed_items, json_items, parse_feed_bodies, parse_json_bodies
-from workload.common import NOW, heavy_table, items, table
+from workload.common import NOW, items, table
 
 
 def url_domains(spark, sf):
@@ -21,7 +21,7 @@ def url_domains(spark, sf):
 
 
 def page_snippet(spark, sf):
-    pages = heavy_table(spark, sf, "pages", "page_id", "html")
+    pages = table(spark, sf, "pages").select("page_id", "html")
     return pages.select("page_id", snippet(F.col("html")).alias("snippet"))
 
 
@@ -32,7 +32,7 @@ def age_labels(spark, sf):
 
 
 def _page_items(spark, sf) -> Items:
-    pages = Items.from_table(heavy_table(spark, sf, "pages"), "page_id")
+    pages = Items.from_table(table(spark, sf, "pages"), "page_id")
     return pages.transform(["rename url link", "rename html description", "copy link guid"])
 
 
@@ -51,7 +51,7 @@ def feed_summaries(spark, sf):
 def _posts(spark, sf) -> Items:
     """Events with the keys of a feed entry, on part of them each."""
     kind = F.col("event_type")
-    posts = heavy_table(spark, sf, "events").select(
+    posts = table(spark, sf, "events").select(
         "event_id",
         kind.alias("title"),
         F.when(kind != "error", F.concat(F.lit("https://x.dev/?a=1&b="), "event_id")).alias("link"),
@@ -139,7 +139,7 @@ def feed_bodies_atom(spark, sf):
 
 def feed_bodies_rejected(spark, sf):
     """Pages are no feeds: all of them are set aside, none is lost."""
-    bodies = heavy_table(spark, sf, "pages").select("url", F.col("html").alias("body"))
+    bodies = table(spark, sf, "pages").select("url", F.col("html").alias("body"))
     parsed = parse_feed_bodies(bodies.unionByName(_rss_bodies(spark, sf)))
     return parsed.rejects
 
@@ -167,7 +167,7 @@ def json_bodies_filter(spark, sf):
 
 def json_scalars(spark, sf):
     """Elements that are no objects are kept under ``value``; counted by word."""
-    documents = heavy_table(spark, sf, "documents", "doc_id", "text")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     body = F.to_json(F.struct(F.split("text", " ").alias("words")))
     bodies = documents.select(F.col("doc_id").cast("string").alias("url"), body.alias("body"))
     words = json_items(bodies, "$['words'][*]").to_typed("value string").to_df()
@@ -184,7 +184,7 @@ def json_rejected(spark, sf):
 def csv_bodies(spark, sf):
     """Every document as a CSV document of its own, texts with line breaks,
     commas and quotes included."""
-    narrow = heavy_table(spark, sf, "documents", "doc_id", "lang", "text")
+    narrow = table(spark, sf, "documents").select("doc_id", "lang", "text")
     documents = Items.from_table(narrow, "doc_id")
     record = fragment(documents, "csv", ["doc_id", "lang", "text"])
     body = F.concat(F.lit("doc_id,lang,text\n"), record, F.lit("\n"))

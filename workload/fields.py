@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rivulet import Items
 from rivulet.functions.profile import content_hash, key_union
-from workload.common import heavy_table, items, labelled_documents, table
+from workload.common import items, labelled_documents, table
 
 
 def text_view(spark, sf):
@@ -17,7 +17,7 @@ def text_view(spark, sf):
 
 def number_view(spark, sf):
     """The number view of every word of every document, summed per document."""
-    documents = heavy_table(spark, sf, "documents", "doc_id", "text")
+    documents = table(spark, sf, "documents").select("doc_id", "text")
     words = documents.select("doc_id", F.explode(F.split("text", r"[ \n]")).alias("word"))
     number = Items.from_table(words, "doc_id").field("word").number
     return words.groupBy("doc_id").agg(
@@ -37,7 +37,7 @@ def date_view(spark, sf):
         "day": F.date_format(ts, "yyyy-MM-dd"),
         "none": F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit(" noon")),
     }
-    texts = heavy_table(spark, sf, "events", "event_id", "ts").select(
+    texts = table(spark, sf, "events").select("event_id", "ts").select(
         "event_id", *[form.alias(name) for name, form in forms.items()]
     )
     read = Items.from_table(texts, "event_id")

@@ -7,7 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import functions as F
 
 from rivulet import Items
-from workload.common import NOW, heavy_table, items, labelled_documents, table
+from workload.common import NOW, items, labelled_documents, table
 
 
 def filter_numeric(spark, sf):
@@ -83,7 +83,7 @@ def filter_relative_date(spark, sf):
 
 def filter_date_text(spark, sf):
     """The same kind of rule on dates that are text in the RSS form."""
-    orders = heavy_table(spark, sf, "orders", "o_orderkey", "o_orderdate")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     stamp = F.date_format("o_orderdate", "EEE, d MMM yyyy HH:mm:ss")
     posted = orders.select("o_orderkey", F.concat(stamp, F.lit(" EST")).alias("posted"))
     now = datetime(1998, 1, 1, tzinfo=timezone.utc)

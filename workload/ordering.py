@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivulet import Items, union
-from workload.common import heavy_table, items, labelled_documents, table
+from workload.common import items, labelled_documents, table
 
 
 def _extracted(spark, sf):
@@ -30,7 +30,7 @@ def sort_auto_date(spark, sf):
         .when(F.col("event_type") == "click", F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     )
-    events = heavy_table(spark, sf, "events", "event_id", "event_type", "ts")
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts")
     events = events.select("event_id", posted.alias("posted"))
     return Items.from_table(events, "event_id").sort("posted", order="desc").positions()
 
