@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from rivulet import Items
 from rivulet.functions.cards import age_label, cards, feed_summary, snippet, url_domain
 from rivulet.sinks import document_parts, fragment
-from rivulet.sources import csv_items, feed_items, json_items, parse_feed_bodies, parse_json_bodies
+from rivulet.sources import (
+    csv_items,
+    feed_items,
+    json_items,
+    parse_csv_bodies,
+    parse_feed_bodies,
+    parse_json_bodies,
+)
 from workload.common import NOW, items, table
 
 
@@ -58,9 +65,7 @@ def _posts(spark, sf) -> Items:
         F.when(kind == "click", F.col("props")).alias("description"),
         F.when(kind == "view", F.concat(F.lit("g-"), "event_id")).alias("guid"),
         F.when(kind == "signup", F.concat(F.lit("User <"), "user_id", F.lit(">"))).alias("author"),
-        F.when(kind != "purchase", F.date_trunc("second", "ts").cast("timestamp_ntz")).alias(
-            "pubDate"
-        ),
+        F.when(kind != "purchase", F.col("ts").cast("timestamp_ntz")).alias("pubDate"),
     )
     return Items.from_table(posts, "event_id")
 
@@ -76,7 +81,7 @@ def emit_json_numbers(spark, sf):
 
 
 def emit_json_dynamic(spark, sf):
-    posts = _posts(spark, sf).transform(["drop pubDate"]).to_dynamic()
+    posts = _posts(spark, sf).to_dynamic()
     return posts.df.select(fragment(posts, "json").alias("line"))
 
 
@@ -112,8 +117,7 @@ def csv_document(spark, sf):
 
 
 def json_document(spark, sf):
-    posts = _posts(spark, sf).transform(["drop pubDate", "drop description", "drop author"])
-    return document_parts(posts, "json").positions()
+    return document_parts(_posts(spark, sf), "json").positions()
 
 
 def _rss_bodies(spark, sf):
@@ -125,8 +129,7 @@ def _rss_bodies(spark, sf):
 
 
 def feed_bodies_rss(spark, sf):
-    parsed = feed_items(_rss_bodies(spark, sf))
-    return parsed.transform(["drop content", "drop author", "drop title", "drop pubDate"]).to_df()
+    return feed_items(_rss_bodies(spark, sf)).to_df()
 
 
 def feed_bodies_atom(spark, sf):
@@ -134,7 +137,42 @@ def feed_bodies_atom(spark, sf):
     head = '<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>'
     body = F.concat(F.lit(head), fragment(posts, "atom"), F.lit("</feed>"))
     bodies = posts.df.select(F.col("event_id").cast("string").alias("url"), body.alias("body"))
-    return feed_items(bodies).transform(["drop content"]).to_df()
+    return feed_items(bodies).to_df()
+
+
+def _stamp_text():
+    """A moment as a feed may write it, with its fraction."""
+    return F.date_format(F.col("pubDate"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def feed_bodies_rdf(spark, sf):
+    """RSS 1.0: items beside the channel, named by rdf:about, dated and signed by dc."""
+    posts = _posts(spark, sf).df
+    link = F.coalesce(F.concat(F.lit("<link>"), F.replace("link", F.lit("&"), F.lit("&amp;")), F.lit("</link>")), F.lit(""))
+    date = F.coalesce(F.concat(F.lit("<dc:date>"), _stamp_text(), F.lit("</dc:date>")), F.lit(""))
+    body = F.concat(
+        F.lit('<?xml version="1.0"?><rdf:RDF><channel/><item rdf:about="'), F.col("event_id"), F.lit('"><title>'), F.col("title"),
+        F.lit("</title>"), link, F.lit("<content:encoded>long "), F.col("title"), F.lit("</content:encoded>"), date,
+        F.lit("<dc:creator>someone</dc:creator></item></rdf:RDF>"),
+    )
+    return feed_items(posts.select(F.col("event_id").cast("string").alias("url"), body.alias("body"))).to_df()
+
+
+def feed_bodies_json(spark, sf):
+    """JSON Feed, with a byte-order mark in front."""
+    posts = _posts(spark, sf).df
+    entry = F.struct(
+        F.col("event_id").cast("string").alias("id"),
+        F.col("link").alias("url"),
+        "title",
+        F.col("description").alias("summary"),
+        F.concat(F.lit("long "), "title").alias("content_html"),
+        _stamp_text().alias("date_published"),
+        F.array(F.struct(F.col("author").alias("name"))).alias("authors"),
+    )
+    feed = F.struct(F.lit("https://jsonfeed.org/version/1.1").alias("version"), F.array(entry).alias("items"))
+    body = F.concat(F.lit("\ufeff"), F.to_json(feed))
+    return feed_items(posts.select(F.col("event_id").cast("string").alias("url"), body.alias("body"))).to_df()
 
 
 def feed_bodies_rejected(spark, sf):
@@ -192,6 +230,23 @@ def csv_bodies(spark, sf):
     return csv_items(bodies).to_typed("doc_id string, lang string, text string").to_df()
 
 
+def csv_rejected(spark, sf):
+    """Bodies with a row of another length are set aside, the others are not."""
+    documents = table(spark, sf, "documents").select("doc_id", "lang")
+    row = F.when(F.col("lang") == "en", "1,2").otherwise("1,2,3")
+    body = F.concat(F.lit('a,"b ""c"""\n'), row, F.lit("\n"))
+    bodies = documents.select(F.col("doc_id").cast("string").alias("url"), body.alias("body"))
+    return parse_csv_bodies(bodies).rejects
+
+
+def csv_long_cell(spark, sf):
+    """Cells of hundreds of thousands of characters with thousands of quotes."""
+    cell = F.repeat(F.concat(F.col("text"), F.lit(' ""')), F.lit(2_000))
+    body = F.concat(F.lit('id,cell\n'), F.col("item_id"), F.lit(',"'), cell, F.lit('"\n'))
+    bodies = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("url"), body.alias("body"))
+    return csv_items(bodies).to_typed("id string, cell string").to_df()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -212,12 +267,16 @@ QUERIES = {
         json_document,
         feed_bodies_rss,
         feed_bodies_atom,
+        feed_bodies_rdf,
+        feed_bodies_json,
         feed_bodies_rejected,
         json_bodies,
         json_bodies_filter,
         json_scalars,
         json_rejected,
         csv_bodies,
+        csv_rejected,
+        csv_long_cell,
     )
 }
 
@@ -270,7 +329,7 @@ POSTS = """posts AS (
            CASE WHEN event_type = 'click' THEN props END AS description,
            CASE WHEN event_type = 'view' THEN 'g-' || event_id END AS guid,
            CASE WHEN event_type = 'signup' THEN 'User <' || user_id || '>' END AS author,
-           CASE WHEN event_type <> 'purchase' THEN date_trunc('second', ts) END AS stamp
+           CASE WHEN event_type <> 'purchase' THEN ts END AS stamp
     FROM events)"""
 
 RSS_LINE = f"""concat_ws(chr(10), '    <item>',
@@ -283,7 +342,12 @@ RSS_LINE = f"""concat_ws(chr(10), '    <item>',
     '      <pubDate>' || strftime(stamp, '%a, %-d %b %Y %H:%M:%S +0000') || '</pubDate>',
     '    </item>')"""
 
-STAMP = "coalesce(strftime({}, '%Y-%m-%dT%H:%M:%S+00:00'), '1970-01-01T00:00:00+00:00')"
+# The fraction of a second shows as far as it is needed, to three or six digits.
+MOMENT = """strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE
+    WHEN strftime({0}, '%f') = '000000' THEN ''
+    WHEN strftime({0}, '%f') LIKE '%000' THEN '.' || left(strftime({0}, '%f'), 3)
+    ELSE '.' || strftime({0}, '%f') END || '+00:00'"""
+STAMP = f"coalesce({MOMENT}, '1970-01-01T00:00:00+00:00')"
 
 ATOM_LINE = f"""concat_ws(chr(10), '  <entry>',
     '    <title>' || {_xml("coalesce(title, '')")} || '</title>',
@@ -338,6 +402,7 @@ ORACLE = {
         SELECT '{{' || concat_ws(',', '"author":' || to_json(author),
                '"description":' || to_json(description), '"event_id":' || event_id,
                '"guid":' || to_json(guid), '"link":' || to_json(link),
+               '"pubDate":"' || {MOMENT.format('stamp')} || '"',
                '"title":' || to_json(title)) || '}}' AS line
         FROM posts""",
     "emit_csv_rows": f"""
@@ -368,7 +433,7 @@ ORACLE = {
             UNION ALL
             SELECT 1, event_id, concat_ws(',', {_cell('author')}, {_cell('description')}, event_id,
                    {_cell('guid')}, {_cell('link')},
-                   coalesce(strftime(stamp, '%Y-%m-%dT%H:%M:%S+00:00'), ''), {_cell('title')})
+                   coalesce({MOMENT.format('stamp')}, ''), {_cell('title')})
             FROM posts)
         SELECT row_number() OVER (ORDER BY part, event_id) AS pos, text FROM parts""",
     "json_document": f"""
@@ -376,8 +441,11 @@ ORACLE = {
             SELECT event_id, event_id = max(event_id) OVER () AS last,
                    event_id = min(event_id) OVER () AS first,
                    '  {{' || chr(10) || '    ' || concat_ws(',' || chr(10) || '    ',
+                       '"author": ' || to_json(author), '"description": ' || to_json(description),
                        '"event_id": ' || event_id, '"guid": ' || to_json(guid),
-                       '"link": ' || to_json(link), '"title": ' || to_json(title))
+                       '"link": ' || to_json(link),
+                       '"pubDate": "' || {MOMENT.format('stamp')} || '"',
+                       '"title": ' || to_json(title))
                    || chr(10) || '  }}' AS block
             FROM posts),
         parts AS (
@@ -385,12 +453,26 @@ ORACLE = {
                    || CASE WHEN last THEN '' ELSE ',' END AS text FROM lines
             UNION ALL SELECT 2, 0, ']')
         SELECT row_number() OVER (ORDER BY part, event_id) AS pos, text FROM parts""",
-    "feed_bodies_rss": """
-        SELECT url AS guid, url AS link, html AS description FROM pages""",
+    "feed_bodies_rss": f"""
+        SELECT url AS guid, {NO_TEXT} AS title, url AS link, html AS description,
+               {NO_TEXT} AS content, {NO_TEXT} AS "pubDate", {NO_TEXT} AS author FROM pages""",
+    "feed_bodies_rdf": f"""
+        WITH {POSTS}
+        SELECT CAST(event_id AS VARCHAR) AS guid, title, link, {NO_TEXT} AS description,
+               'long ' || title AS content, {MOMENT.format('stamp')} AS "pubDate", 'someone' AS author
+        FROM posts""",
+    "feed_bodies_json": f"""
+        WITH {POSTS}
+        SELECT CAST(event_id AS VARCHAR) AS guid, title, link, description, 'long ' || title AS content,
+               {MOMENT.format('stamp')} AS "pubDate", author FROM posts""",
+    "csv_rejected": """
+        SELECT CAST(doc_id AS VARCHAR) AS url, 'bad CSV' AS reason FROM documents WHERE lang <> 'en'""",
+    "csv_long_cell": """
+        SELECT CAST(item_id AS VARCHAR) AS id, repeat(text || ' ""', 2000) AS cell FROM benchmark""".replace('""', '"'),
     "feed_bodies_atom": f"""
         WITH {POSTS}
         SELECT coalesce(guid, link) AS guid, title, link, description,
-               {STAMP.format('stamp')} AS "pubDate", author
+               {NO_TEXT} AS content, {STAMP.format('stamp')} AS "pubDate", author
         FROM posts""",
     "feed_bodies_rejected": "SELECT url, 'cannot parse feed' AS reason FROM pages",
     "json_bodies": """

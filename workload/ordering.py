@@ -65,13 +65,25 @@ def limit_top(spark, sf):
 
 
 def limit_large(spark, sf):
-    """A cut too large for one top-k task."""
     lines = items(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
     return lines.sort("l_extendedprice", order="desc").limit(20_000).positions()
 
 
+def limit_middle(spark, sf):
+    lines = items(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return lines.sort("l_extendedprice", order="desc").limit(500).positions()
+
+
 def limit_zero(spark, sf):
-    return items(spark, sf, "nation").limit(0).positions()
+    """Nothing of one table before all of another."""
+    regions = items(spark, sf, "region", "r_regionkey").transform(["rename r_regionkey key"])
+    nations = items(spark, sf, "nation", "n_nationkey").transform(["rename n_nationkey key"])
+    return nations.limit(0).union(regions).positions()
+
+
+def tail_large(spark, sf):
+    lines = items(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return lines.sort("l_extendedprice").tail(20_000).positions()
 
 
 def tail_last(spark, sf):
@@ -156,7 +168,9 @@ QUERIES = {
         sort_stable,
         limit_top,
         limit_large,
+        limit_middle,
         limit_zero,
+        tail_large,
         tail_last,
         reverse_positions,
         reverse_missing,
@@ -206,8 +220,17 @@ ORACLE = {
         SELECT row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos,
                l_orderkey, l_linenumber, l_extendedprice
         FROM lineitem QUALIFY pos <= 20000""",
+    "limit_middle": """
+        SELECT row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos,
+               l_orderkey, l_linenumber, l_extendedprice
+        FROM lineitem QUALIFY pos <= 500""",
     "limit_zero": """
-        SELECT CAST(0 AS BIGINT) AS pos, * FROM nation WHERE false""",
+        SELECT row_number() OVER (ORDER BY r_regionkey) AS pos, r_regionkey AS key FROM region""",
+    "tail_large": """
+        SELECT row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS pos,
+               l_orderkey, l_linenumber, l_extendedprice
+        FROM (SELECT * FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey DESC,
+                                             l_linenumber DESC LIMIT 20000)""",
     "tail_last": """
         SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos, o_orderkey, o_orderdate
         FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 40)""",

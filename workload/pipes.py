@@ -74,11 +74,41 @@ def run_upto(spark, sf):
 
 def node_counts(spark, sf):
     """Items per node, counted as they stream by in one run."""
-    run = _digest_pipeline().compose(_context(spark, sf), observe=True)
+    return _report(spark, _digest_pipeline().compose(_context(spark, sf), observe=True))
+
+
+def _report(spark, run):
     rows = [(r["node"], r["kind"], r["status"], r["items"]) for r in run.report()]
     return spark.createDataFrame(rows, "node int, kind string, status string, items bigint")
 
 
+def node_counts_failed(spark, sf):
+    """One branch cannot be composed; the other runs, and so does what feeds the first."""
+    pipeline = (
+        Pipeline("half")
+        .add("fetch_feed", url=EVENTS)
+        .add("filter", 1, rules=["title ~ view"])
+        .add("limit", 2, n=5)
+        .add("fetch_feed", url=PURCHASES)
+        .add("tail", 4, n=7)
+        .add("output", 3)
+    )
+    return _report(spark, pipeline.compose(_context(spark, sf), observe=True))
+
+
+def node_counts_empty(spark, sf):
+    """Nodes that nothing passes, for a cut to nothing and for a field that is nowhere."""
+    pipeline = (
+        Pipeline("nothing")
+        .add("fetch_feed", url=EVENTS)
+        .add("limit", 1, n=0)
+        .add("filter", 1, rules=["nowhere == x"])
+        .add("union", 2, 3)
+        .add("output", 4)
+    )
+    return _report(spark, pipeline.compose(_context(spark, sf), observe=True))
+
+
 def node_counts_lazy(spark, sf):
     return _digest_pipeline().compose(_context(spark, sf)).counts()
 
@@ -110,7 +140,16 @@ def kitchen_sink(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (news_digest, news_digest_all, run_upto, node_counts, node_counts_lazy, kitchen_sink)
+    for f in (
+        news_digest,
+        news_digest_all,
+        run_upto,
+        node_counts,
+        node_counts_failed,
+        node_counts_empty,
+        node_counts_lazy,
+        kitchen_sink,
+    )
 }
 
 ENTRY = """e AS (
@@ -149,6 +188,18 @@ ORACLE = {
     "run_upto": f"""
         WITH {_digest(60)} SELECT title, link, "pubDate", description, score FROM scored""",
     "node_counts": f"{COUNTS} SELECT node, kind, 'ok' AS status, items FROM counts",
+    "node_counts_failed": """
+        SELECT * FROM (VALUES
+            (1, 'fetch_feed', 'ok', (SELECT count(*) FROM events)), (2, 'filter', 'failed', NULL),
+            (3, 'limit', 'unready', NULL),
+            (4, 'fetch_feed', 'ok', (SELECT count(*) FROM events WHERE event_type = 'purchase')),
+            (5, 'tail', 'ok', (SELECT least(7, count(*)) FROM events WHERE event_type = 'purchase')),
+            (6, 'output', 'unready', NULL)) AS t(node, kind, status, items)""",
+    "node_counts_empty": """
+        SELECT * FROM (VALUES
+            (1, 'fetch_feed', 'ok', (SELECT count(*) FROM events)), (2, 'limit', 'ok', 0),
+            (3, 'filter', 'ok', 0), (4, 'union', 'ok', 0), (5, 'output', 'ok', 0))
+            AS t(node, kind, status, items)""",
     "node_counts_lazy": f"{COUNTS} SELECT node, kind, items FROM counts",
     "kitchen_sink": f"""
         WITH {ENTRY}, turns AS (
