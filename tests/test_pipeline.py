@@ -48,11 +48,12 @@ def test_references_expand():
 # --- structure ---------------------------------------------------------------
 
 FEED = "https://x.dev/feed"
+# A stock list: what is on the shelf, with the count in a note.
 POSTS = [
-    {"title": "Old", "link": "1", "pubDate": "2025-03-01", "description": "Points: 500"},
-    {"title": "Low", "link": "2", "pubDate": "2025-03-10", "description": "Points: 5"},
-    {"title": "New", "link": "3", "pubDate": "2025-03-09", "description": "Points: 120"},
-    {"title": "None", "link": "4", "pubDate": "2025-03-10"},
+    {"title": "Nails", "link": "1", "pubDate": "2025-03-01", "description": "left: 500 kg"},
+    {"title": "Rope", "link": "2", "pubDate": "2025-03-10", "description": "left: 5 m"},
+    {"title": "Paint", "link": "3", "pubDate": "2025-03-09", "description": "left: 120 l"},
+    {"title": "Gift card", "link": "4", "pubDate": "2025-03-10"},
 ]
 
 
@@ -60,26 +61,26 @@ def context(make, **more) -> Context:
     return Context(make.spark, NOW, {FEED: make.dynamic(POSTS), **more})
 
 
-def digest() -> Pipeline:
+def stock() -> Pipeline:
+    """Low stock first, then everything by name, each article once."""
     return (
-        Pipeline("digest", params=(Param("min_score", "number", 100),))
+        Pipeline("stock", params=(Param("enough", "number", 100),))
         .add("fetch_feed", url=FEED)
-        .add("filter", 1, rules=["pubDate > now - 2d"])
-        .add("regex", 2, field="description", pattern=r"Points:\s*(?<score>\d+)", mode="extract")
-        .add("filter", 3, rules=["score > ${min_score}"])
-        .add("fetch_feed", url=FEED)
-        .add("union", 4, 5)
-        .add("sort", 6, by="pubDate", order="desc")
-        .add("output", 7, format="json", destination="")
+        .add("regex", 1, field="description", pattern="left: (?P<left>[0-9]+) ", mode="extract")
+        .add("filter", 2, rules=["left < ${enough}"])
+        .add("sort", 1, by="title", compare="lexical")
+        .add("union", 3, 4)
+        .add("unique", 5, by="link")
+        .add("output", 6, format="json", destination="")
     )
 
 
 def test_compose(make):
-    run = digest().compose(context(make))
-    assert column(run.output, "title") == ["Low", "None", "New", "New", "Old"]
-    low = digest().compose(context(make), {"min_score": "4"})
-    assert column(low.items(4), "title") == ["Low", "New"]
-    assert column(low.items(4), "score") == ["5", "120"]
+    run = stock().compose(context(make))
+    assert column(run.output, "title") == ["Rope", "Gift card", "Nails", "Paint"]
+    more = stock().compose(context(make), {"enough": "121"})
+    assert column(more.items(3), "title") == ["Rope", "Paint"]
+    assert column(more.items(3), "left") == ["5", "120"]
 
 
 def test_structure_problems():
@@ -105,37 +106,61 @@ def test_structure_problems():
 
 def test_one_bad_node_leaves_the_others(make):
     pipeline = (
-        digest()
+        stock()
         .add("sort", 1, by="title", order="sideways")
-        .add("limit", 9, n=1)
+        .add("limit", 8, n=1)
         .add("unique", by="link")
     )
     run = pipeline.compose(context(make))
     states = {i: r.status for i, r in run.results.items()}
-    assert [states[i] for i in (8, 9, 10, 11)] == ["ok", "failed", "unready", "unready"]
-    assert len(rows(run.items(8))) == 5
-    with pytest.raises(PipelineError, match=r"node #9 \(sort\): order must be"):
+    assert [states[i] for i in (7, 8, 9, 10)] == ["ok", "failed", "unready", "unready"]
+    assert len(rows(run.items(7))) == 4
+    with pytest.raises(PipelineError, match=r"node #8 \(sort\): .*order"):
         run.output  # noqa: B018
-    assert "did not produce output" in run.results[10].error
-    assert "not connected" in run.results[11].error
-    with pytest.raises(ValueError, match="node #10"):
-        run.items(10)
+    assert "did not produce output" in run.results[9].error
+    assert "not connected" in run.results[10].error
+    with pytest.raises(ValueError, match="node #9"):
+        run.items(9)
 
 
 def test_run_to_a_node_composes_only_what_feeds_it(make):
-    run = digest().compose(context(make), upto=3)
+    run = stock().compose(context(make), upto=3)
     assert sorted(run.results) == [1, 2, 3]
-    assert column(run.items(3), "title") == ["Low", "New", "None"]
+    assert column(run.items(3), "title") == ["Rope"]
 
 
 def test_counts_per_node(make):
-    run = digest().compose(context(make), observe=True)
+    run = stock().compose(context(make), observe=True)
     report = {r["node"]: r["items"] for r in run.report()}
-    assert report == {1: 4, 2: 3, 3: 3, 4: 1, 5: 4, 6: 5, 7: 5, 8: 5}
-    lazy = {r["node"]: r["items"] for r in digest().compose(context(make)).counts().collect()}
+    assert report == {1: 4, 2: 4, 3: 1, 4: 4, 5: 5, 6: 4, 7: 4}
+    lazy = {r["node"]: r["items"] for r in stock().compose(context(make)).counts().collect()}
     assert lazy == report
 
 
+def test_report_of_failed_and_empty_nodes(make):
+    def odd(items):
+        raise RuntimeError("no such shelf")
+
+    register_step("odd", odd)
+    try:
+        pipeline = (
+            stock()
+            .add("odd", 1)
+            .add("output", 8)
+            .add("filter", 1, rules=["nothing == 1"])
+            .add("fetch_json", url="https://x.dev/bad")
+        )
+        bad = make.spark.createDataFrame([("u", "{bad")], "url string, body string")
+        run = pipeline.compose(context(make, **{"https://x.dev/bad": bad}), observe=True)
+        report = {r["node"]: r for r in run.report()}
+    finally:
+        del STEPS["odd"]
+    assert [report[i]["status"] for i in (7, 8, 9, 10, 11)] == ["ok", "failed", "unready", "ok", "failed"]
+    assert report[8]["error"] == "no such shelf" and "cannot parse JSON" in report[11]["error"]
+    assert [report[i]["items"] for i in (1, 7, 8, 9, 10, 11)] == [4, 4, None, None, 0, None]
+    assert report[7]["seconds"] > 0 and report[9]["seconds"] is None
+
+
 def test_shared_nodes_are_kept(make):
     pipeline = (
         Pipeline("shared")
@@ -147,30 +172,30 @@ def test_shared_nodes_are_kept(make):
     )
     run = pipeline.compose(context(make), persist_shared=True)
     assert len(run.persisted) == 1 and run.persisted[0].is_cached
-    assert column(run.output, "title") == ["Old", "None"]
+    assert column(run.output, "title") == ["Nails", "Gift card"]
     run.close()
     assert not run.persisted
 
 
 def test_run_writes_and_fails_whole(make, tmp_path):
     target = tmp_path / "out"
-    run = digest().run(context(make), destination=str(target), format="rss")
+    run = stock().run(context(make), destination=str(target), format="rss")
     text = "".join(p.read_text() for p in sorted(target.glob("part-*")))
-    assert "<title>digest</title>" in text and text.index("Low") < text.index("Old")
+    assert "<title>stock</title>" in text and text.index("Rope") < text.index("Nails")
     assert run.output_settings(None, None) == {"format": "json", "destination": None}
-    assert digest().run(context(make)).output.columns  # no destination: nothing is written
+    assert stock().run(context(make)).output.columns  # no destination: nothing is written
 
     missing = tmp_path / "missing"
     with pytest.raises(PipelineError, match="nothing has landed"):
-        digest().run(Context(make.spark, NOW), destination=str(missing))
-    loose = digest().add("fetch_json", url="https://x.dev/bad")
+        stock().run(Context(make.spark, NOW), destination=str(missing))
+    loose = stock().add("fetch_json", url="https://x.dev/bad")
     bad = make.spark.createDataFrame([("u", "{bad")], "url string, body string")
     with pytest.raises(PySparkException, match="cannot parse JSON"):
         loose.run(context(make, **{"https://x.dev/bad": bad}), destination=str(missing))
     with pytest.raises(PipelineError, match="no output node"):
         Pipeline("none").add("fetch_feed", url=FEED).run(context(make), destination=str(missing))
     with pytest.raises(ValueError, match="unknown format"):
-        digest().run(context(make), destination=str(missing), format="xml")
+        stock().run(context(make), destination=str(missing), format="xml")
     assert not missing.exists()
 
 
@@ -201,7 +226,7 @@ def test_json_description_and_every_kind(make, tmp_path):
     kinds = [
         ("fetch_feed", {"url": "${url}"}),
         ("filter", {"rules": ["pubDate > now - 7d"], "mode": "permit", "match": "all"}),
-        ("regex", {"field": "description", "pattern": r"Points:\s*(?<score>\d+)", "mode": "extract"}),
+        ("regex", {"field": "description", "pattern": r"left: (?<score>\d+)", "mode": "extract"}),
         ("filter", {"rules": ["score > ${min_score}"]}),
         ("fetch_json", {"url": "https://x.dev/j", "path": "$.hits"}),
         ("transform", {"ops": ["rename url link", "rename points score", "rename objectID guid"]}),
@@ -234,7 +259,7 @@ def test_json_description_and_every_kind(make, tmp_path):
     run = Pipeline.load(str(path)).compose(ctx)
     got = [(r.get("title"), r.get("link"), r.get("score")) for r in rows(run.output)]
     assert got == [
-        ("New", "3", "120"), (None, "j1", 70), ("Europe", None, None), ("Africa", None, None),
+        ("Paint", "3", "120"), (None, "j1", 70), ("Europe", None, None), ("Africa", None, None),
         ("Oceania", None, None),
     ]
     assert document_text(run.output, "rss", run.pipeline.name).count("<item>") == 5
@@ -252,7 +277,7 @@ def test_json_description_and_every_kind(make, tmp_path):
 def test_a_step_of_ones_own(make):
     register_step("shout", lambda items, by: items.regex(by, "$", replacement="!"))
     try:
-        run = digest().add("shout", 1, by="title").compose(context(make), upto=9)
-        assert column(run.items(9), "title") == ["Old!", "Low!", "New!", "None!"]
+        run = stock().add("shout", 1, by="title").compose(context(make), upto=8)
+        assert column(run.items(8), "title") == ["Nails!", "Rope!", "Paint!", "Gift card!"]
     finally:
         del STEPS["shout"]

@@ -6,14 +6,9 @@ from pyspark.sql import functions as F
 
 from rivulet import Items
 from rivulet.plans import Context, Param, Pipeline
-from workload.common import NOW, items, table
+from workload.common import NOW, table
 
-EVENTS, PURCHASES, PAGES, TURNS = (
-    "https://feeds.test/events",
-    "https://feeds.test/purchases",
-    "https://feeds.test/pages.json",
-    "https://feeds.test/turns.csv",
-)
+EVENTS, PURCHASES = "https://feeds.test/events", "https://feeds.test/purchases"
 
 
 def _context(spark, sf) -> Context:
@@ -31,12 +26,7 @@ def _context(spark, sf) -> Context:
     )
     bought = events.where(kind == "purchase").select("event_id", *entry, F.col("value").alias("score"))
     purchases = Items.from_table(bought, "event_id").transform(["drop event_id"])
-    pages = items(spark, sf, "pages")
-    turns = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.col("text").alias("Name"), F.col("role").alias("Code")
-    )
-    rows = Items.from_table(turns, ["conv_id", "turn"]).transform(["drop conv_id", "drop turn"])
-    found = {EVENTS: posts, PURCHASES: purchases, PAGES: pages, TURNS: rows}
+    found = {EVENTS: posts, PURCHASES: purchases}
     return Context(spark, NOW, found)
 
 
@@ -113,29 +103,60 @@ def node_counts_lazy(spark, sf):
     return _digest_pipeline().compose(_context(spark, sf)).counts()
 
 
-def kitchen_sink(spark, sf):
-    """Every kind of node in one pipeline."""
+REGIONS, NATIONS, SUPPLIERS = (
+    "https://trade.test/regions.rss",
+    "https://trade.test/nations.json",
+    "https://trade.test/suppliers.csv",
+)
+
+
+def _landed(spark, sf):
+    """One RSS, one JSON and one CSV document, as a fetcher would store them."""
+
+    def lines(name, key, *parts):
+        """A line of text for each row of a table, in key order."""
+        line = F.concat(*[F.col(p[1:]) if p.startswith("$") else F.lit(p) for p in parts])
+        rows = table(spark, sf, name).agg(F.array_sort(F.collect_list(F.struct(key, line.alias("line")))).alias("rows"))
+        return rows.select(F.col("rows.line").alias("lines"))
+
+    region = lines("region", "r_regionkey", "<item><title>", "$r_name", "</title><guid>r", "$r_regionkey", "</guid></item>")
+    nation = lines("nation", "n_nationkey", '{"key": ', "$n_nationkey", ', "label": "', "$n_name", '", "region": ', "$n_regionkey", "}")
+    supplier = lines("supplier", "s_suppkey", "$s_suppkey", ",\"", "$s_name", "\",", "$s_nationkey", ",", "$s_acctbal")
+    text = lambda url, head, df, by, foot: df.select(
+        F.lit(url).alias("url"), F.concat(F.lit(head), F.array_join("lines", by), F.lit(foot)).alias("body")
+    )
+    return (
+        text(REGIONS, '<rss version="2.0"><channel>', region, "", "</channel></rss>")
+        .union(text(NATIONS, '{"nations": [', nation, ",", "]}"))
+        .union(text(SUPPLIERS, "id,name,nation,balance\n", supplier, "\n", "\n"))
+    )
+
+
+def trade_review(spark, sf):
+    """Every kind of node, over landed documents of three formats: regions last to first,
+    nations of some regions, then the best supplier of each nation not named yet."""
     pipeline = (
-        Pipeline("everything", params=(Param("url", "url"), Param("min_score", "number", 50)))
-        .add("fetch_feed", url="${url}")
-        .add("filter", 1, rules=["pubDate > now - 7d"], mode="permit", match="all")
-        .add("regex", 2, field="description", pattern=r'"k":\s*(?<score>\d+)', mode="extract")
-        .add("filter", 3, rules=["score > ${min_score}"])
-        .add("fetch_json", url=PAGES)
-        .add("transform", 5, ops=["rename url link", "rename page_id score", "drop html"])
-        .add("reverse", 6)
-        .add("fetch_csv", url=TURNS)
-        .add("transform", 8, ops=["rename Name title", "rename Code guid"])
-        .add("tail", 9, n=3)
-        .add("union", 4, 7, 10)
-        .add("unique", 11, by="link")
-        .add("sort", 12, by="score", order="desc")
-        .add("limit", 13, n=250)
-        .add("output", 14, format="rss", destination="")
+        Pipeline("trade", params=(Param("least", "number", 0),))
+        .add("fetch_csv", url=SUPPLIERS)
+        .add("filter", 1, rules=["balance >= ${least}", "name contains supplier"])
+        .add("sort", 2, by="balance", order="desc", compare="numeric")
+        .add("regex", 3, field="name", mode="extract", pattern="#0*(?<number>[0-9]+)$")
+        .add("transform", 4, ops=["copy nation guid", "rename number title", "drop id"])
+        .add("fetch_json", url=NATIONS, path="$.nations[?(@.region > 1)]")
+        .add("transform", 6, ops=["rename key guid", "rename label title", "drop region"])
+        .add("fetch_feed", url=REGIONS)
+        .add("reverse", 8)
+        .add("union", 9, 7, 5)
+        .add("unique", 10, by="guid")
+        .add("tail", 11, n=21)
+        .add("limit", 12, n=17)
+        .add("output", 13, format="csv", destination="")
     )
-    run = pipeline.compose(_context(spark, sf), {"url": EVENTS})
+    context = Context(spark, NOW, {})
+    context.landed = _landed(spark, sf)
+    run = pipeline.compose(context)
     run.require_ok()
-    return run.output.transform(["drop description", "drop pubDate"]).positions()
+    return run.output.to_typed("title string, guid string, name string, balance double").positions()
 
 
 QUERIES = {
@@ -148,7 +169,7 @@ QUERIES = {
         node_counts_failed,
         node_counts_empty,
         node_counts_lazy,
-        kitchen_sink,
+        trade_review,
     )
 }
 
@@ -201,20 +222,24 @@ ORACLE = {
             (3, 'filter', 'ok', 0), (4, 'union', 'ok', 0), (5, 'output', 'ok', 0))
             AS t(node, kind, status, items)""",
     "node_counts_lazy": f"{COUNTS} SELECT node, kind, items FROM counts",
-    "kitchen_sink": f"""
-        WITH {ENTRY}, turns AS (
-            SELECT conv_id, turn, text, role FROM conversations
-            ORDER BY conv_id DESC, turn DESC LIMIT 3),
-        merged AS (
-            SELECT 0 AS w, event_id AS i, 0 AS j, title, link, CAST(NULL AS VARCHAR) AS guid,
-                   k AS score FROM e
-            WHERE "pubDate" > TIMESTAMP '2024-01-24' AND CAST(k AS DOUBLE) > 50
-            UNION ALL SELECT 1, -page_id, 0, NULL, url, NULL, CAST(page_id AS VARCHAR) FROM pages
-            UNION ALL SELECT 2, conv_id, turn, text, NULL, role, NULL FROM turns),
+    "trade_review": """
+        WITH merged AS (
+            SELECT 0 AS w, CAST(-r_regionkey AS DOUBLE) AS a, 0 AS b, r_name AS title,
+                   'r' || r_regionkey AS guid, CAST(NULL AS VARCHAR) AS name,
+                   CAST(NULL AS DOUBLE) AS balance
+            FROM region
+            UNION ALL
+            SELECT 1, n_nationkey, 0, n_name, CAST(n_nationkey AS VARCHAR), NULL, NULL
+            FROM nation WHERE n_regionkey > 1
+            UNION ALL
+            SELECT 2, -s_acctbal, s_suppkey, regexp_extract(s_name, '#0*([0-9]+)$', 1),
+                   CAST(s_nationkey AS VARCHAR), s_name, s_acctbal
+            FROM supplier WHERE s_acctbal >= 0),
         firsts AS (
-            SELECT * FROM merged QUALIFY link IS NULL
-                OR row_number() OVER (PARTITION BY link ORDER BY w, i, j) = 1)
-        SELECT row_number() OVER (ORDER BY CAST(score AS DOUBLE) DESC NULLS LAST, w, i, j) AS pos,
-               title, link, guid, score
-        FROM firsts QUALIFY pos <= 250""",
+            SELECT *, row_number() OVER (ORDER BY w, a, b) AS place FROM (
+                SELECT * FROM merged
+                QUALIFY row_number() OVER (PARTITION BY guid ORDER BY w, a, b) = 1)),
+        ends AS (SELECT * FROM firsts ORDER BY place DESC LIMIT 21)
+        SELECT row_number() OVER (ORDER BY place) AS pos, title, guid, name, balance
+        FROM ends QUALIFY pos <= 17""",
 }
