@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rivulet.session import ensure_checkpoint_dir, pin_utc
 
 # Text that a Python worker unpacks at once; a longer single text comes alone.
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 250_000) -> tuple[DataFrame, int]:
+    """``stored`` and counted, in no more partitions than its rows need: what comes of a
+    shuffle may be much smaller than what went in, and every partition is a file here
+    and in each shuffle that follows."""
+    written = stored(df)
+    n = written.count()
+    return written.coalesce(max(1, -(-n // rows))), n
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, which is cheap to read, marked for broadcast if it has at most ``rows``
     rows; beyond that Spark joins it by a shuffle."""

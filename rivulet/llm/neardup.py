@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rivulet.llm.common import map_texts, parts, small, stored
+from rivulet.llm.common import compact, map_texts, parts, small, stored
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -18,10 +18,10 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 5
 COORDINATES = BANDS * BAND_ROWS
 # Each round compares the members of every open bucket with one more of them.
-ROUNDS = 4
+ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 # Distinct words whose hashes a Python worker keeps before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 _U64 = np.uint64
 _PRIME = 0x100000001B3
 
@@ -171,7 +171,6 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (copy, hub) whose shingle sets are similar enough, worked out exactly."""
     wanted = pairs.select("copy").union(pairs.select(F.col("hub").alias("copy"))).distinct()
     texts = docs.join(small(wanted, BROADCAST_ROWS), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
-    texts = stored(texts)
     left = texts.withColumnRenamed("text", "own")
     right = texts.select(F.col("copy").alias("hub"), F.col("text").alias("other"))
     both = pairs.join(left, "copy").join(right, "hub").select("copy", "hub", "own", "other")
@@ -193,22 +192,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     In each round a node takes the smallest label around it and then that label's own
     label, until nothing changes. Labels are summed by node before they move.
     """
-    links = stored(edges.select(a, b).union(edges.select(b, a)).toDF("node", "near").distinct())
-    labels = links.groupBy("node").agg(F.least("node", F.min("near")).alias("component"))
+    both = edges.select(a, b).union(edges.select(b, a)).toDF("node", "near").distinct()
+    links, _ = compact(both)
+    first = links.groupBy("node").agg(F.least("node", F.min("near")).alias("component"))
+    labels, _ = compact(first)
     while True:
-        labels = stored(labels)
         around = links.join(labels.withColumnsRenamed({"node": "near", "component": "seen"}), "near")
         lowest = around.groupBy("node").agg(F.min("seen").alias("seen"))
         step = labels.join(lowest, "node").select("node", F.least("component", "seen").alias("near"), "component")
         jump = labels.withColumnsRenamed({"node": "near", "component": "jump"})
-        moved = stored(
+        moved, _ = compact(
             step.join(jump, "near", "left").select(
                 "node", F.least("near", F.coalesce("jump", "near")).alias("to"), "component"
             )
         )
+        labels = moved.select("node", F.col("to").alias("component"))
         if moved.where(F.col("to") < F.col("component")).isEmpty():
             return labels
-        labels = moved.select("node", F.col("to").alias("component"))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +230,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     bands = stored(_bands(docs)).select("copy", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     # Only rows that meet another go on; this is the one join of all bands.
-    open_rows = stored(bands.join(sizes.select("key"), "key", "left_semi"))
+    open_rows, _ = compact(bands.join(sizes.select("key"), "key", "left_semi"))
     edges = tried = labels = None
     for turn in range(ROUNDS):
         known = open_rows.withColumn("component", F.col("copy"))
@@ -257,13 +257,14 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         )
         if tried is not None:
             pairs = pairs.join(tried, ["copy", "hub"], "left_anti")
-        pairs = stored(pairs)
-        if pairs.isEmpty():
+        pairs, n_pairs = compact(pairs)
+        if not n_pairs:
             break
         tried = pairs if tried is None else tried.union(pairs)
-        found = stored(_verified(pairs, docs))
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges, "copy", "hub")
+        found, n_found = compact(_verified(pairs, docs))
+        if n_found:
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges, "copy", "hub")
     return _by_row(rows, docs, labels, id_col)
 
 
