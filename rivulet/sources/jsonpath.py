@@ -1,8 +1,10 @@
 """Selecting the items of a JSON document by path, as array expressions.
 
-Supported: ``$``, ``.name``, ``['name']``, ``[index]``, ``[*]`` / ``.*`` and
-``[?(@.field op literal)]`` (or ``[?(@.field)]`` for existence). Each step maps
-an array of matches to an array of matches, so a path costs no shuffle.
+Steps: ``.name``, ``.*``, ``..name``, ``..*``, ``[selectors]`` and ``..[selectors]``, where
+selectors are names in quotes, indexes, slices ``a:b:c``, ``*`` and ``?test``, joined by
+commas. Tests compare ``@.a.b`` with a literal or ask whether it is there, and combine
+with ``!``, ``&&``, ``||`` and parentheses. Each step maps an array of matches to an
+array of matches, so a path costs no shuffle.
 """
 
 from __future__ import annotations
@@ -17,57 +19,171 @@ from rivulet.functions.views import let
 from rivulet.items import variant_path
 from rivulet.operators.rules import COMPARE
 
-_NAME = r"[A-Za-z_\u0080-￿][\w\u0080-￿]*"
-_STEP = re.compile(
-    rf"""
-    \.(?P<name>{_NAME})
-  | \[\s*(?P<quoted>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")\s*\]
-  | \[\s*(?P<index>-?(?:0|[1-9][0-9]*))\s*\]
-  | (?P<every>\.\*|\[\s*\*\s*\])
-  | \[\s*\?\s*(?P<filter>(?:[^\]"']|"[^"]*"|'[^']*')+?)\s*\]
-    """,
+_NAME = r"[A-Za-z_\u0080-\uffff][\w\u0080-\uffff]*"
+_QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+_INTEGER = r"-?(?:0|[1-9][0-9]*)"
+_MEMBER = re.compile(rf"(?P<deep>\.\.|\.)(?:(?P<name>{_NAME})|(?P<every>\*))")
+_OPENING = re.compile(r"(?P<deep>\.\.)?\[")
+_SELECTOR = re.compile(
+    rf"""\s*(?:(?P<quoted>{_QUOTED})
+    | (?P<slice>(?P<start>{_INTEGER})?\s*:\s*(?P<stop>{_INTEGER})?\s*(?::\s*(?P<step>{_INTEGER})?)?)
+    | (?P<index>{_INTEGER}) | (?P<every>\*) | (?P<test>\?))\s*""",
     re.X,
 )
-_TEST = re.compile(
-    rf"""^\(?\s*@(?P<path>(?:\.{_NAME})+)
-    (?:\s*(?P<op>==|!=|<=|>=|<|>)\s*
-       (?P<value>-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?
-         |'[^']*'|"[^"]*"|true|false|null))?\s*\)?$""",
+_TOKEN = re.compile(
+    rf"""\s*(?:(?P<mark>&&|\|\||!(?!=)|\(|\))
+    | @(?P<path>(?:\.{_NAME}|\[(?:{_QUOTED})\])*)
+    | (?P<op>==|!=|<=|>=|<|>)
+    | (?P<value>-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|{_QUOTED}|true|false|null))""",
     re.X,
 )
+_MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+# Levels that ``..`` goes down; a document that is nested deeper fails the run.
+DESCENT = 32
 
 Step = Callable[[Column], Column]
+Test = Callable[[Column], Column]
+
+
+class _Reader:
+    """A path and how far it has been read."""
+
+    def __init__(self, path: str):
+        self.path, self.text, self.at = path, path.strip(), 1
+        if not self.text.startswith("$"):
+            raise self.problem("must start with `$`")
+
+    def problem(self, what: str | None = None) -> ValueError:
+        what = what or f"cannot read `{self.text[self.at:]}`"
+        return ValueError(f"bad JSONPath `{self.path}`: {what}")
+
+    def take(self, pattern: re.Pattern) -> re.Match | None:
+        found = pattern.match(self.text, self.at)
+        if found:
+            self.at = found.end()
+        return found
+
+    def steps(self) -> list[Step]:
+        found = []
+        while self.at < len(self.text):
+            member = self.take(_MEMBER)
+            if member:
+                if member["deep"] == "..":
+                    found.append(_descendants)
+                found.append(_children if member["every"] else _named(member["name"]))
+                continue
+            opening = self.take(_OPENING)
+            if not opening:
+                raise self.problem()
+            if opening["deep"]:
+                found.append(_descendants)
+            found.append(_joined(self.selectors()))
+        return found
+
+    def selectors(self) -> list[Step]:
+        found = []
+        while True:
+            selector = self.take(_SELECTOR)
+            if not selector:
+                raise self.problem()
+            found.append(self.selector(selector))
+            mark = self.text[self.at : self.at + 1]
+            self.at += 1
+            if mark == "]":
+                return found
+            if mark != ",":
+                self.at -= 1
+                raise self.problem()
+
+    def selector(self, found: re.Match) -> Step:
+        if found["quoted"]:
+            return _named(_unquoted(found["quoted"]))
+        if found["slice"]:
+            return _sliced(*(int(found[part]) if found[part] else None for part in ("start", "stop", "step")))
+        if found["index"]:
+            return _indexed(int(found["index"]))
+        if found["every"]:
+            return _children
+        test = self.any_of()
+        self.take(re.compile(r"\s*"))
+        return lambda nodes: F.filter(_children(nodes), lambda n: F.coalesce(test(n), F.lit(False)))
+
+    # Tests, loosest first: a || b, a && b, !a, (a), comparison.
+
+    def any_of(self) -> Test:
+        tests = [self.all_of()]
+        while self.mark("||"):
+            tests.append(self.all_of())
+        return lambda n: _folded(tests, n, lambda a, b: a | b)
+
+    def all_of(self) -> Test:
+        tests = [self.one()]
+        while self.mark("&&"):
+            tests.append(self.one())
+        return lambda n: _folded(tests, n, lambda a, b: a & b)
+
+    def one(self) -> Test:
+        if self.mark("!"):
+            test = self.one()
+            return lambda n: ~test(n)
+        if self.mark("("):
+            test = self.any_of()
+            if not self.mark(")"):
+                raise self.problem()
+            return test
+        left = self.operand()
+        op = self.token("op")
+        if not op:
+            if left["path"] is None:
+                raise self.problem("a test compares, or asks for a path")
+            return _test(_segments(left["path"]), None, None)
+        right = self.operand()
+        if (left["path"] is None) == (right["path"] is None):
+            raise self.problem("a test compares a path with a literal")
+        if left["path"] is None:
+            return _test(_segments(right["path"]), _MIRRORED.get(op["op"], op["op"]), left["value"])
+        return _test(_segments(left["path"]), op["op"], right["value"])
+
+    def operand(self) -> re.Match:
+        found = self.token("path") or self.token("value")
+        if not found:
+            raise self.problem()
+        return found
+
+    def token(self, kind: str) -> re.Match | None:
+        found = _TOKEN.match(self.text, self.at)
+        if found is None or found[kind] is None:
+            return None
+        self.at = found.end()
+        return found
+
+    def mark(self, text: str) -> bool:
+        found = _TOKEN.match(self.text, self.at)
+        if found is None or found["mark"] != text:
+            return False
+        self.at = found.end()
+        return True
+
+
+def _folded(tests: list[Test], node: Column, join: Callable[[Column, Column], Column]) -> Column:
+    result = tests[0](node)
+    for test in tests[1:]:
+        result = join(result, test(node))
+    return result
+
+
+def _unquoted(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text[1:-1])
+
+
+def _segments(path: str) -> list[str]:
+    found = re.findall(rf"\.({_NAME})|\[({_QUOTED})\]", path)
+    return [name or _unquoted(quoted) for name, quoted in found]
 
 
 def parse_path(path: str) -> list[Step]:
     """The steps of a path; ``ValueError`` if it is malformed or unsupported."""
-    text = path.strip()
-    if not text.startswith("$"):
-        raise ValueError(f"bad JSONPath `{path}`: must start with `$`")
-    steps, at = [], 1
-    while at < len(text):
-        found = _STEP.match(text, at)
-        if not found:
-            raise ValueError(f"bad JSONPath `{path}`: cannot read `{text[at:]}`")
-        steps.append(_step(path, found))
-        at = found.end()
-    return steps
-
-
-def _step(path: str, found: re.Match) -> Step:
-    if found["name"]:
-        return _named(found["name"])
-    if found["quoted"]:
-        return _named(re.sub(r"\\(.)", r"\1", found["quoted"][1:-1]))
-    if found["index"]:
-        return _indexed(int(found["index"]))
-    if found["every"]:
-        return _children
-    test = _TEST.match(found["filter"])
-    if not test:
-        raise ValueError(f"bad JSONPath `{path}`: unsupported filter `{found['filter']}`")
-    keep = _test(test["path"][1:].split("."), test["op"], test["value"])
-    return lambda nodes: F.filter(_children(nodes), keep)
+    return _Reader(path).steps()
 
 
 def elements(node: Column) -> Column:
@@ -96,17 +212,89 @@ def _indexed(index: int) -> Step:
 
 
 def _children(nodes: Column) -> Column:
-    nothing = F.array().cast("array<variant>")
     return F.flatten(
-        F.transform(nodes, lambda n: F.coalesce(elements(n), F.map_values(members(n)), nothing))
+        F.transform(nodes, lambda n: F.coalesce(elements(n), F.map_values(members(n)), _nothing()))
     )
 
 
-def _test(path: list[str], op: str | None, literal: str | None) -> Callable[[Column], Column]:
+def _joined(selectors: list[Step]) -> Step:
+    """What each selector finds in a node, one selector after the other."""
+    if len(selectors) == 1:
+        return selectors[0]
+    return lambda nodes: F.flatten(
+        F.transform(nodes, lambda n: F.concat(*(select(F.array(n)) for select in selectors)))
+    )
+
+
+def _sliced(start: int | None, stop: int | None, step: int | None) -> Step:
+    step = 1 if step is None else step
+
+    def bound(value: int | None, size: Column, default: Column, low: int, above: int) -> Column:
+        if value is None:
+            return default
+        place = F.lit(value) if value >= 0 else size + value
+        return F.least(F.greatest(place, F.lit(low)), size + above)
+
+    def pick(node: Column) -> Column:
+        values = elements(node)
+        size = F.size(values)
+        if step > 0:
+            first = bound(start, size, F.lit(0), 0, 0)
+            last = bound(stop, size, size, 0, 0)
+            places = F.filter(F.transform(values, lambda _, i: i), lambda i: (i >= first) & (i < last) & ((i - first) % step == 0))
+        else:
+            first = bound(start, size, size - 1, -1, -1)
+            last = bound(stop, size, F.lit(-1), -1, -1)
+            places = F.reverse(
+                F.filter(F.transform(values, lambda _, i: i), lambda i: (i <= first) & (i > last) & ((first - i) % -step == 0))
+            )
+        return F.coalesce(F.transform(places, lambda i: F.get(values, i)), _nothing())
+
+    return (lambda nodes: F.filter(nodes, lambda _: F.lit(False))) if step == 0 else (
+        lambda nodes: F.flatten(F.transform(nodes, pick))
+    )
+
+
+def _nothing() -> Column:
+    return F.array().cast("array<variant>")
+
+
+def _descendants(nodes: Column) -> Column:
+    """The nodes and everything below, each right before what it holds. Levels are
+    gathered one by one with the way to each node, then put in the order of the ways."""
+
+    def start(node: Column, i: Column) -> Column:
+        return F.struct(F.array(i.cast("int")).alias("way"), node.alias("node"))
+
+    def below(place: Column) -> Column:
+        return F.transform(
+            _children(F.array(place["node"])),
+            lambda kid, i: F.struct(F.concat(place["way"], F.array(i.cast("int"))).alias("way"), kid.alias("node")),
+        )
+
+    def deeper(state: Column, _) -> Column:
+        return let(
+            F.flatten(F.transform(state["level"], below)),
+            lambda kids: F.struct(F.concat(state["all"], kids).alias("all"), kids.alias("level")),
+        )
+
+    def ordered(state: Column) -> Column:
+        by_way = F.array_sort(
+            state["all"], lambda a, b: F.when(a["way"] < b["way"], -1).when(a["way"] > b["way"], 1).otherwise(0)
+        )
+        failure = F.raise_error(F.lit(f"JSON is nested more than {DESCENT} deep")).cast("array<variant>")
+        return F.when(F.size(state["level"]) == 0, F.transform(by_way, lambda place: place["node"])).otherwise(failure)
+
+    first = F.transform(nodes, start)
+    levels = F.sequence(F.lit(0), F.lit(DESCENT))
+    return let(F.aggregate(levels, F.struct(first.alias("all"), first.alias("level")), deeper), ordered)
+
+
+def _test(path: list[str], op: str | None, literal: str | None) -> Test:
     where = variant_path(path)
     if op is None:
         return lambda n: F.try_variant_get(n, where, "variant").isNotNull()
-    value = literal[1:-1] if literal[0] in "'\"" else json.loads(literal)
+    value = _unquoted(literal) if literal[0] in "'\"" else json.loads(literal)
 
     def keep(node: Column) -> Column:
         found = F.try_variant_get(node, where, "variant")

@@ -147,7 +147,53 @@ def test_json_paths(spark):
         assert [r[key] if key else r for r in got] == expected, path
 
 
-@pytest.mark.parametrize("path", ["$$$nonsense", "data", "$.a[", "$..a", "$.a[?(@.b ~ 1)]", "$[x]"])
+SHELF = {
+    "rows": [{"id": i, "n": i * i % 5, "sub": {"id": 10 + i, "tags": ["t", i]}} for i in range(6)],
+    "odd, name": {"id": 99},
+}
+IDS = lambda keep: [r["id"] for r in SHELF["rows"] if keep(r)]
+
+
+@pytest.mark.parametrize(
+    "path, expected",
+    [
+        ("$.rows[1:3].id", [1, 2]),
+        ("$.rows[-2:].id", [4, 5]),
+        ("$.rows[::2].id", [0, 2, 4]),
+        ("$.rows[4:1:-2].id", [4, 2]),
+        ("$.rows[::-1].id", [5, 4, 3, 2, 1, 0]),
+        ("$.rows[:99].id", [0, 1, 2, 3, 4, 5]),
+        ("$.rows[1:4:0].id", []),
+        ("$.rows[0,-1,2].id", [0, 5, 2]),
+        ("$.rows[0]['id','n']", [0, 0]),
+        ("$.rows[1:3, 0].sub.id", [11, 12, 10]),
+        ("$['odd, name'].id", [99]),
+        ("$..id", sorted([*range(6), *range(10, 16), 99], key=lambda i: (i == 99, i % 10, i))),
+        ("$.rows[2]..tags[1]", [2]),
+        ("$..[?@.n > 3].id", IDS(lambda r: r["n"] > 3)),
+        ("$.rows[?@.n > 0 && @.n < 4].id", IDS(lambda r: 0 < r["n"] < 4)),
+        ("$.rows[?(@.n == 0 || !(@.sub.id < 14))].id", IDS(lambda r: r["n"] == 0 or r["id"] >= 4)),
+        ("$.rows[?!@.nope && 3 <= @.id].id", IDS(lambda r: r["id"] >= 3)),
+        ("$.rows[?@['sub'].id == 13].id", [3]),
+    ],
+)
+def test_more_json_paths(spark, path, expected):
+    found = [r["value"] for r in rows(json_items(bodies(spark, ("u", json.dumps(SHELF))), path))]
+    assert sorted(found) == sorted(expected) if path == "$..id" else found == expected
+
+
+def test_descent_order_and_depth(spark):
+    tree = {"a": [{"b": 1}, [2, {"b": [3]}]], "c": {"b": 4}}
+    found = [r["value"] for r in rows(json_items(bodies(spark, ("u", json.dumps(tree))), "$..b"))]
+    assert found == [1, [3], 4]
+    deep = 1
+    for _ in range(40):
+        deep = [deep]
+    with pytest.raises(PySparkException, match="nested"):
+        json_items(bodies(spark, ("u", json.dumps(deep))), "$..x").df.collect()
+
+
+@pytest.mark.parametrize("path", ["$$$nonsense", "data", "$.a[", "$..", "$.a[?(@.b ~ 1)]", "$[x]", "$[1,]", "$[?1]", "$[?@.a &&]", "$[?(@.a]", "$[1:2"])
 def test_bad_json_path(spark, path):
     with pytest.raises(ValueError, match="bad JSONPath"):
         json_items(bodies(spark, ("u", "[]")), path)
