@@ -203,6 +203,33 @@ def json_bodies_filter(spark, sf):
     return found.to_typed("role string, text string, turn bigint").to_df()
 
 
+def _turn_bodies(spark, sf):
+    """Two posts and a count in each document."""
+    turns = table(spark, sf, "conversations")
+    later = F.struct(F.lit("later").alias("role"), "text", (F.col("turn") + 10).alias("turn"))
+    posts = F.array(F.struct("role", "text", "turn"), later).alias("posts")
+    meta = F.struct((F.col("turn") + 100).alias("turn")).alias("meta")
+    return turns.select(F.concat_ws("/", "conv_id", "turn").alias("url"), F.to_json(F.struct(posts, meta)).alias("body"))
+
+
+def json_path_slice(spark, sf):
+    found = json_items(_turn_bodies(spark, sf), "$.posts[-1:]")
+    return found.to_typed("role string, text string, turn bigint").to_df()
+
+
+def json_path_union(spark, sf):
+    return json_items(_turn_bodies(spark, sf), "$.posts[0]['text', 'role']").to_typed("value string").to_df()
+
+
+def json_path_descent(spark, sf):
+    return json_items(_turn_bodies(spark, sf), "$..turn").to_typed("value bigint").to_df()
+
+
+def json_path_tests(spark, sf):
+    path = "$.posts[?@.turn > 2 && !(@.turn == 11 || @.role == 'user')]"
+    return json_items(_turn_bodies(spark, sf), path).to_typed("role string, turn bigint").to_df()
+
+
 def json_scalars(spark, sf):
     """Elements that are no objects are kept under ``value``; counted by word."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
@@ -272,6 +299,10 @@ QUERIES = {
         feed_bodies_rejected,
         json_bodies,
         json_bodies_filter,
+        json_path_slice,
+        json_path_union,
+        json_path_descent,
+        json_path_tests,
         json_scalars,
         json_rejected,
         csv_bodies,
@@ -481,6 +512,15 @@ ORACLE = {
     "json_bodies_filter": """
         SELECT role, text, turn FROM conversations WHERE turn > 1
         UNION ALL SELECT role, 'later', turn + 10 FROM conversations""",
+    "json_path_slice": "SELECT 'later' AS role, text, turn + 10 AS turn FROM conversations",
+    "json_path_union": """
+        SELECT text AS value FROM conversations UNION ALL SELECT role FROM conversations""",
+    "json_path_descent": """
+        SELECT turn + more AS value FROM conversations, (VALUES (0), (10), (100)) AS v(more)""",
+    "json_path_tests": """
+        SELECT role, turn FROM (SELECT role, turn FROM conversations
+                                UNION ALL SELECT 'later', turn + 10 FROM conversations)
+        WHERE turn > 2 AND NOT (turn = 11 OR role = 'user')""",
     "json_scalars": """
         SELECT value, count(*) AS n
         FROM (SELECT unnest(string_split(text, ' ')) AS value FROM documents) GROUP BY value""",
