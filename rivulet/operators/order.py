@@ -20,12 +20,12 @@ def sort(items: Items, by: str, order: str = "asc", compare: str = "auto") -> It
     thereby breaks ties."""
     items.require_batch("sort")
     if by is None:
-        raise ValueError("param `by` is required")
+        raise ValueError("sort needs `by`, the field to go by")
     if order not in ("asc", "desc"):
-        raise ValueError(f"order must be `asc` or `desc`, not `{order}`")
+        raise ValueError(f"sort `order`: asc or desc, not `{order}`")
     if compare not in ("auto", "numeric", "lexical", "date"):
         raise ValueError(
-            f"compare must be `auto`, `numeric`, `lexical`, or `date`, not `{compare}`"
+            f"sort `compare`: auto, numeric, date or lexical, not `{compare}`"
         )
     keys = _sort_keys(items, items.field(by), compare)
     names = items.fresh_hidden(len(keys))
@@ -89,7 +89,7 @@ def _row_count(n) -> int:
     if isinstance(n, float) and n.is_integer():
         n = int(n)
     if isinstance(n, bool) or not isinstance(n, int) or n < 0:
-        raise ValueError("param `n` must be a non-negative integer")
+        raise ValueError(f"`n` is a number of items, 0 or more, not `{n}`")
     return n
 
 

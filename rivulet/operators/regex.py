@@ -17,18 +17,17 @@ def regex(
     in it as a text field. Items without the field, or without a match to
     extract from, stay as they are."""
     if field is None:
-        raise ValueError("param `field` is required")
+        raise ValueError("regex needs `field`, where to look")
     if pattern is None:
-        raise ValueError("param `pattern` is required")
+        raise ValueError("regex needs `pattern`, what to look for")
     if mode not in ("replace", "extract"):
-        raise ValueError(f"mode must be `replace` or `extract`, not `{mode}`")
+        raise ValueError(f"regex `mode`: replace or extract, not `{mode}`")
     compiled = spark_pattern(pattern)
     if mode == "replace":
         return _replace(items, strip_item(field), compiled, replacement)
     if not compiled.groups:
         raise ValueError(
-            "extract mode needs named capture groups, e.g. `(?<score>\\d+)`; "
-            f"`{pattern}` has none"
+            f"`{pattern}` names no group to extract, as in `(?<size>[0-9]+)`"
         )
     return _extract(items, strip_item(field), compiled)
 

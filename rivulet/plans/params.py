@@ -30,16 +30,16 @@ class Param:
 
     def __post_init__(self):
         if self.kind not in KINDS:
-            raise ValueError(f"param `{self.name}`: kind must be text, url or number")
+            raise ValueError(f"param `{self.name}`: no such kind as `{self.kind}`; there are text, url and number")
 
     def coerce(self, raw: Any) -> Any:
         text = raw if isinstance(raw, str) else as_text(raw)
         if self.kind == "url" and "://" not in text:
-            raise ValueError(f"`{text}` is not a URL (missing scheme)")
+            raise ValueError(f"`{text}` has no scheme, so it is no URL")
         if self.kind == "number":
             number = parse_float(text.strip())
             if number is None:
-                raise ValueError(f"`{text}` is not a number")
+                raise ValueError(f"`{text}` is no number")
             return number
         return text
 
@@ -56,7 +56,7 @@ def resolve(declared: Iterable[Param], overrides: Mapping[str, Any] | None = Non
     bound, problems = {}, []
     for name, raw in (overrides or {}).items():
         if name not in by_name:
-            problems.append(f"unknown param `{name}`")
+            problems.append(f"no param is called `{name}`")
             continue
         try:
             bound[name] = by_name[name].coerce(raw)
@@ -66,7 +66,7 @@ def resolve(declared: Iterable[Param], overrides: Mapping[str, Any] | None = Non
         if name in (overrides or {}):
             continue
         if param.default is None:
-            problems.append(f"param `{name}` requires a value")
+            problems.append(f"param `{name}` has no value")
         else:
             bound[name] = param.default
     if problems:
@@ -82,7 +82,7 @@ def references(value: Any) -> set[str]:
     if isinstance(value, str):
         found = _REFERENCE.findall(value)
         if any(not closed for _, closed in found):
-            raise ValueError(f"unclosed `${{` in `{value}`")
+            raise ValueError(f"`${{` without its `}}` in `{value}`")
         return {name for name, _ in found}
     if isinstance(value, Mapping):
         return set().union(*map(references, value.values()))
@@ -102,7 +102,7 @@ def expand(value: Any, bound: Mapping[str, Any]) -> Any:
         return value
     for name in references(value):
         if name not in bound:
-            raise ValueError(f"unknown param `${{{name}}}`")
+            raise ValueError(f"no param is called `{name}`")
     exact = _REFERENCE.fullmatch(value)
     if exact:
         return bound[exact[1]]

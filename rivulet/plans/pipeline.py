@@ -64,7 +64,7 @@ class Context:
 
     def source(self, url: str | None, parse: Callable[[DataFrame], Items]) -> Items:
         if url is None:
-            raise ValueError("param `url` is required")
+            raise ValueError("a source needs `url`")
         found = self.sources.get(url)
         if isinstance(found, Items):
             return found
@@ -73,7 +73,7 @@ class Context:
         if found is None and self.landed is not None:
             found = self.landed.where(F.col("url") == url)
         if found is None:
-            raise ValueError(f"nothing has landed for {url}")
+            raise ValueError(f"no body of {url} has landed")
         return parse(found)
 
 
@@ -104,7 +104,7 @@ def _csv(ctx: Context, _: list[Items], args: dict) -> Items:
 def _filter(ctx: Context, inputs: list[Items], args: dict) -> Items:
     rules = args.get("rules")
     if rules is not None and not isinstance(rules, list):
-        raise ValueError("param `rules` must be a list of strings")
+        raise ValueError("`rules` is a list of rule texts")
     mode, match = args.get("mode", "permit"), args.get("match", "all")
     return filter_items(inputs[0], rules, mode, match, ctx.now)
 
@@ -122,7 +122,7 @@ def _regex(_: Context, inputs: list[Items], args: dict) -> Items:
 def _transform(_: Context, inputs: list[Items], args: dict) -> Items:
     ops = args.get("ops")
     if ops is not None and not isinstance(ops, list):
-        raise ValueError("param `ops` must be a list of strings")
+        raise ValueError("`ops` is a list of texts")
     return transform(inputs[0], ops)
 
 
@@ -237,7 +237,7 @@ class Pipeline:
         for node in self.nodes:
             step = STEPS.get(node.kind)
             if step is None:
-                found.append(f"node #{node.id}: unknown kind `{node.kind}`")
+                found.append(f"node #{node.id}: no step is called `{node.kind}`")
                 continue
             args = {k: v for k, v in node.args.items() if k not in step.verbatim}
             try:
@@ -246,21 +246,21 @@ class Pipeline:
                 found.append(f"node #{node.id}: {problem}")
                 continue
             found += [
-                f"node #{node.id}: references undeclared param `${{{name}}}`"
+                f"node #{node.id}: names the param `${{{name}}}`, which is not declared"
                 for name in undeclared
             ]
         for wire in self.wires:
             if wire.source not in by_id or wire.target not in by_id:
-                found.append(f"dangling wire #{wire.source} -> #{wire.target}: node missing")
+                found.append(f"wire #{wire.source} -> #{wire.target} ends at no node")
         for target, count in Counter(w.target for w in self.wires).items():
             step = STEPS.get(by_id[target].kind) if target in by_id else None
             if step and step.wires == "none":
-                found.append(f"node #{target}: `{by_id[target].kind}` takes no input")
+                found.append(f"node #{target}: `{by_id[target].kind}` is a source, so no wire leads to it")
             elif step and step.wires == "one" and count > 1:
                 found.append(f"node #{target} takes one wire, not {count}")
         cyclic = self._node_on_cycle()
         if cyclic is not None:
-            found.append(f"the pipeline has a cycle (through node #{cyclic})")
+            found.append(f"the wires form a circle through node #{cyclic}")
         return found
 
     def _node_on_cycle(self) -> int | None:
@@ -336,10 +336,10 @@ class Pipeline:
     ) -> NodeResult:
         step = STEPS[node.kind]
         if step.wires != "none" and not upstream:
-            return NodeResult(node, "unready", error="required input `in` is not connected")
+            return NodeResult(node, "unready", error="no wire leads to its input")
         for source in upstream:
             if source.status != "ok":
-                why = f"upstream #{source.node.id} did not produce output"
+                why = f"node #{source.node.id} before it has no result"
                 return NodeResult(node, "unready", error=why)
         try:
             args = {
@@ -416,7 +416,7 @@ class Composition:
                 [f"node #{r.node.id} ({r.node.kind}): {r.error}" for r in failed]
             )
         if self.pipeline.output_node() is None:
-            raise PipelineError(["the pipeline has no output node"])
+            raise PipelineError(["no node of the pipeline is an output"])
 
     @property
     def output(self) -> Items:

@@ -34,7 +34,7 @@ ATOM_FOOT = "</feed>"
 
 def check_format(name: str) -> str:
     if name not in FORMATS:
-        raise ValueError(f"unknown format `{name}` (expected rss, atom, json, or csv)")
+        raise ValueError(f"no such format: `{name}`; there are rss, atom, json and csv")
     return name
 
 

@@ -24,13 +24,13 @@ def test_all_problems_are_reported_together():
     with pytest.raises(ParamError) as error:
         resolve(PARAMS, {"count": "many", "bogus": "x"})
     assert error.value.problems == [
-        "param `count`: `many` is not a number",
-        "unknown param `bogus`",
-        "param `url` requires a value",
+        "param `count`: `many` is no number",
+        "no param is called `bogus`",
+        "param `url` has no value",
     ]
-    with pytest.raises(ParamError, match="missing scheme"):
+    with pytest.raises(ParamError, match="scheme"):
         resolve(PARAMS, {"url": "nope"})
-    with pytest.raises(ValueError, match="kind must be"):
+    with pytest.raises(ValueError, match="date"):
         Param("x", "date")
 
 
@@ -40,7 +40,7 @@ def test_references_expand():
     assert expand("x > ${n} ${tag} ${f}", bound) == "x > 10 news 5.0"
     assert expand({"a": ["${n}", "${n}${tag}"], "b": 1}, bound) == {"a": [10, "10news"], "b": 1}
     assert references({"a": ["${x} ${y}", "${x}"]}) == {"x", "y"}
-    for bad, part in [("${nope}", "unknown param"), ("a ${n", "unclosed")]:
+    for bad, part in [("${nope}", "`nope`"), ("a ${n", "a \\${n")]:
         with pytest.raises(ValueError, match=part):
             expand(bad, bound)
 
@@ -95,8 +95,8 @@ def test_structure_problems():
     )
     found = "\n".join(broken.problems())
     for part in (
-        "unknown kind `shuffle`", "undeclared param `${nope}`", "unclosed", "dangling wire #9 -> #1",
-        "`fetch_feed` takes no input", "node #3 takes one wire, not 2", "cycle (through node #",
+        "`shuffle`", "`${nope}`", "without its", "#9 -> #1",
+        "`fetch_feed` is a source", "node #3 takes one wire, not 2", "circle through node #",
     ):
         assert part in found, part
     assert "group" not in found
@@ -117,8 +117,8 @@ def test_one_bad_node_leaves_the_others(make):
     assert len(rows(run.items(7))) == 4
     with pytest.raises(PipelineError, match=r"node #8 \(sort\): .*order"):
         run.output  # noqa: B018
-    assert "did not produce output" in run.results[9].error
-    assert "not connected" in run.results[10].error
+    assert "#8" in run.results[9].error
+    assert "wire" in run.results[10].error
     with pytest.raises(ValueError, match="node #9"):
         run.items(9)
 
@@ -186,15 +186,15 @@ def test_run_writes_and_fails_whole(make, tmp_path):
     assert stock().run(context(make)).output.columns  # no destination: nothing is written
 
     missing = tmp_path / "missing"
-    with pytest.raises(PipelineError, match="nothing has landed"):
+    with pytest.raises(PipelineError, match="has landed"):
         stock().run(Context(make.spark, NOW), destination=str(missing))
     loose = stock().add("fetch_json", url="https://x.dev/bad")
     bad = make.spark.createDataFrame([("u", "{bad")], "url string, body string")
     with pytest.raises(PySparkException, match="cannot parse JSON"):
         loose.run(context(make, **{"https://x.dev/bad": bad}), destination=str(missing))
-    with pytest.raises(PipelineError, match="no output node"):
+    with pytest.raises(PipelineError, match="output"):
         Pipeline("none").add("fetch_feed", url=FEED).run(context(make), destination=str(missing))
-    with pytest.raises(ValueError, match="unknown format"):
+    with pytest.raises(ValueError, match="`xml`"):
         stock().run(context(make), destination=str(missing), format="xml")
     assert not missing.exists()
 

@@ -56,8 +56,8 @@ def test_errors(make):
         (dict(pattern="[open"), "bad regex"),
         (dict(pattern="(open"), "bad regex"),
         (dict(pattern="shut)"), "bad regex"),
-        (dict(pattern=r"\d+", mode="extract"), "named capture groups"),
-        (dict(pattern="x", mode="swap"), "mode must be"),
+        (dict(pattern=r"\d+", mode="extract"), "names no group"),
+        (dict(pattern="x", mode="swap"), "`mode`"),
         (dict(pattern=None), "`pattern`"),
     ]:
         with pytest.raises(ValueError, match=part):

@@ -201,5 +201,5 @@ def test_cards(make):
 def test_summary(make):
     got = card_functions.feed_summary(make.dynamic([{}, {"a": 1}]), "T", "csv", now=NOW).first()
     assert (got["title"], got["format"], got["items"], got["updated"]) == ("T", "csv", 2, "12:00")
-    with pytest.raises(ValueError, match="unknown format"):
+    with pytest.raises(ValueError, match="format"):
         card_functions.feed_summary(make.dynamic([]), "T", "xml")
