@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rivulet.llm import neardup, quality, rules
-from rivulet.llm.common import checkpoint_folder, small, stored, table
+from rivulet.llm.common import checkpoint_folder, in_small_batches, small, stored, table
 from rivulet.llm.queries import packed_pieces, quality_judged
 
 # Excluded ids of one stage that are broadcast at most; more are joined by a shuffle.
@@ -17,6 +17,7 @@ BROADCAST_ROWS = 1_000_000
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that break a rule go, and documents that the rules reject. Null and empty
     texts are rejected."""
+    in_small_batches(spark)
     judged = docs.withColumn("__rules", rules.clean_lines(F.col("text"))).where("__rules.kept")
     cleaned = judged.withColumn("text", F.col("__rules.clean_text"))
     return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)

@@ -11,6 +11,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from rivulet.llm.common import in_small_batches
+
 # The grammar: a conversation is a row of turns, and a turn is
 #   <s> mark text </s>
 # whose mark is [INST] (user), [/INST] (assistant), [SYS] (system) or
@@ -113,6 +115,7 @@ def format_conversations(df: DataFrame) -> DataFrame:
     stream through the tasks in order: a task holds one conversation, which is one row
     of the result anyway.
     """
+    in_small_batches(df.sparkSession)
     turns = (
         df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
         .repartition("conv_id")

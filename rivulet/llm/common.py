@@ -14,8 +14,21 @@ from rivulet.session import ensure_checkpoint_dir, pin_utc
 PART_BYTES = 2 << 20
 
 
+# Bytes of a batch of rows on its way to and from a Python worker.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(spark: SparkSession) -> SparkSession:
+    """Long texts must not pile up in a worker: rows travel in batches of a few MB. The
+    setting is the session's and stays; a smaller one is left alone."""
+    if int(spark.conf.get(_BATCH_SETTING).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return in_small_batches(pin_utc(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -81,6 +94,7 @@ def map_texts(
     texts to the result columns, declared in ``results`` as "name type". Every
     other column of ``df`` is left behind, so no name can clash with a result.
     """
+    in_small_batches(df.sparkSession)
     kept = df.select(*keep, F.col(text).alias("__text"))
     columns = [(f.name, f.dataType.simpleString()) for f in kept.schema.fields[:-1]]
     columns += [tuple(r.split(" ", 1)) for r in results]

@@ -21,7 +21,7 @@ COORDINATES = BANDS * BAND_ROWS
 ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 # Distinct words whose hashes a Python worker keeps before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 _U64 = np.uint64
 _PRIME = 0x100000001B3
 

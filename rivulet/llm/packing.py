@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from rivulet.llm.common import parts
+from rivulet.llm.common import in_small_batches, parts
 from rivulet.llm.pretokens import byte_letters
 
 WINDOW = 1024
@@ -130,6 +130,7 @@ def pack(
     partitions and the order in them, so a retried task repeats its own if its input
     comes from files.
     """
+    in_small_batches(df.sparkSession)
     kept = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     id_type = kept.schema["__id"].dataType.simpleString()
 

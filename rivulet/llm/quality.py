@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rivulet.functions.views import let
-from rivulet.llm.common import small, stored, training_row
+from rivulet.llm.common import in_small_batches, small, stored, training_row
 from rivulet.llm.rules import clean_lines
 
 # Shares of a text at which a feature's next step begins.
@@ -153,6 +153,7 @@ def classify(
     Repeated rows count and are judged each. Without labels every row has the prior.
     An empty table gives no rows. Other columns pass through.
     """
+    in_small_batches(df.sparkSession)
     evidence = fit(df, labels, id_col, text_col, label_col)
     prior = float(np.log(evidence.prior / (1 - evidence.prior)))
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((host_col, "host"), (path_col, "path"))]
