@@ -133,13 +133,20 @@ def _compare_number(field: Field, op: str, value: float) -> Column:
     compare = COMPARE[op]
     if isinstance(field.dtype, views.INTEGRAL) and abs(value) < EXACT_DOUBLE:
         return _compare_integer(field.value, field.dtype, op, value)
+
+    def hit(number: Column) -> Column:
+        found = compare(number, F.lit(value))
+        # NaN compares with nothing; Spark ranks it above every number.
+        return found & ~F.isnan(number) if op in (">", ">=", "!=") else found
+
     if isinstance(field.dtype, T.DoubleType):
-        number = field.value  # compared as it is, so that the scan can use it
-    else:
-        number = field.number
-    hit = compare(number, F.lit(value))
-    # NaN compares with nothing; Spark ranks it above every number.
-    return hit & ~F.isnan(number) if op in (">", ">=", "!=") else hit
+        return hit(field.value)  # compared as it is, so that the scan can use it
+    if isinstance(field.dtype, T.StringType):
+        # The text may be costly, such as what a pattern has extracted; take it once.
+        return views.let(
+            field.value, lambda text: views.let(views.number_view(text, field.dtype), hit)
+        )
+    return hit(field.number)
 
 
 def _compare_integer(col: Column, dtype: T.DataType, op: str, value: float) -> Column:

@@ -368,9 +368,18 @@ class Pipeline:
         The caller's format and destination outrank the output node's, which
         outrank RSS and no destination; without one nothing is written and
         ``output`` holds the items. Nodes that feed no output are run too, since
-        their failure fails the run.
+        their failure fails the run. The output of nodes that feed several others
+        is kept for the run, so that they are computed once.
         """
-        composition = self.compose(context, params)
+        composition = self.compose(context, params, persist_shared=True)
+        try:
+            return self._run(composition, format, destination, mode)
+        finally:
+            composition.close()
+
+    def _run(
+        self, composition: Composition, format: str | None, destination: str | None, mode: str
+    ) -> Composition:
         composition.require_ok()
         settings = composition.output_settings(format, destination)
         loose = {n.id for n in self.nodes} - {w.source for w in self.wires}
