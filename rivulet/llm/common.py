@@ -56,7 +56,7 @@ def compact(df: DataFrame, rows: int = 250_000) -> tuple[DataFrame, int]:
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, which is cheap to read, marked for broadcast if it has at most ``rows``
     rows; beyond that Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def training_row(doc_id) -> Column:

@@ -228,9 +228,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = rows.where(F.col("text").isNotNull()).withColumn("copy", _copy_of(F.col("text")))
     bands = stored(_bands(docs)).select("copy", F.explode("bands").alias("key"))
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # Only rows that meet another go on; this is the one join of all bands.
-    open_rows, _ = compact(bands.join(sizes.select("key"), "key", "left_semi"))
+    open_rows, _ = compact(bands.join(small(compact(shared)[0], BROADCAST_ROWS), "key", "left_semi"))
     edges = tried = labels = None
     for turn in range(ROUNDS):
         known = open_rows.withColumn("component", F.col("copy"))
@@ -249,8 +249,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .where("low < high")
             .select("key", F.col("hub.copy").alias("hub"), F.col("hub.component").alias("hub_component"))
         )
+        # Written first, so that the join can split the rows of a bucket.
+        hubs, _ = compact(hubs)
         pairs = (
-            known.join(hubs, "key")
+            known.join(small(hubs, BROADCAST_ROWS), "key")
             .where(F.col("component") != F.col("hub_component"))
             .select(F.least("copy", "hub").alias("copy"), F.greatest("copy", "hub").alias("hub"))
             .distinct()
