@@ -44,13 +44,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def compact(df: DataFrame, rows: int = 250_000) -> tuple[DataFrame, int]:
-    """``stored`` and counted, in no more partitions than its rows need: what comes of a
-    shuffle may be much smaller than what went in, and every partition is a file here
-    and in each shuffle that follows."""
-    written = stored(df)
-    n = written.count()
-    return written.coalesce(max(1, -(-n // rows))), n
+def compact(df: DataFrame, bound: int, rows: int = 250_000) -> tuple[DataFrame, int]:
+    """``stored`` in as many partitions as ``bound``, the most rows it can have, needs,
+    and counted. What comes of a shuffle may be much smaller than what went in, and
+    every partition is a file here and in each shuffle that follows."""
+    written = stored(df.coalesce(max(1, -(-bound // rows))))
+    return written, written.count()
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -18,8 +18,10 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 24, 5
 COORDINATES = BANDS * BAND_ROWS
 # Each round compares the members of every open bucket with one more of them.
-ROUNDS = 3
+ROUNDS = 4
 BROADCAST_ROWS = 1_000_000
+# Pairs that a task compares.
+VERIFIED_PAIRS = 2_000
 # Distinct words whose hashes a Python worker keeps before it starts anew.
 MEMO_WORDS = 100_000
 _U64 = np.uint64
@@ -193,9 +195,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label, until nothing changes. Labels are summed by node before they move.
     """
     both = edges.select(a, b).union(edges.select(b, a)).toDF("node", "near").distinct()
-    links, _ = compact(both)
+    links, n_links = compact(both, 2 * edges.count())
     first = links.groupBy("node").agg(F.least("node", F.min("near")).alias("component"))
-    labels, _ = compact(first)
+    labels, n_nodes = compact(first, n_links)
     while True:
         around = links.join(labels.withColumnsRenamed({"node": "near", "component": "seen"}), "near")
         lowest = around.groupBy("node").agg(F.min("seen").alias("seen"))
@@ -204,7 +206,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved, _ = compact(
             step.join(jump, "near", "left").select(
                 "node", F.least("near", F.coalesce("jump", "near")).alias("to"), "component"
-            )
+            ),
+            n_nodes,
         )
         labels = moved.select("node", F.col("to").alias("component"))
         if moved.where(F.col("to") < F.col("component")).isEmpty():
@@ -227,10 +230,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     docs = rows.where(F.col("text").isNotNull()).withColumn("copy", _copy_of(F.col("text")))
-    bands = stored(_bands(docs)).select("copy", F.explode("bands").alias("key"))
+    banded = stored(_bands(docs))
+    n_rows = banded.count() * BANDS
+    bands = banded.select("copy", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # Only rows that meet another go on; this is the one join of all bands.
-    open_rows, _ = compact(bands.join(small(compact(shared)[0], BROADCAST_ROWS), "key", "left_semi"))
+    shared, _ = compact(shared, n_rows // 2)
+    open_rows, n_open = compact(bands.join(small(shared, BROADCAST_ROWS), "key", "left_semi"), n_rows)
     edges = tried = labels = None
     for turn in range(ROUNDS):
         known = open_rows.withColumn("component", F.col("copy"))
@@ -238,7 +244,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             known = open_rows.join(labels.withColumnRenamed("node", "copy"), "copy", "left").withColumn(
                 "component", F.coalesce("component", "copy")
             )
-        hub_order = F.col("copy") if turn == 0 else F.xxhash64("copy", F.lit(turn))
+        # Later hubs differ from bucket to bucket, so a text meets several in a round.
+        hub_order = F.col("copy") if turn == 0 else F.xxhash64("copy", "key", F.lit(turn))
         hubs = (
             known.groupBy("key")
             .agg(
@@ -250,7 +257,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .select("key", F.col("hub.copy").alias("hub"), F.col("hub.component").alias("hub_component"))
         )
         # Written first, so that the join can split the rows of a bucket.
-        hubs, _ = compact(hubs)
+        hubs, _ = compact(hubs, n_open // 2)
         pairs = (
             known.join(small(hubs, BROADCAST_ROWS), "key")
             .where(F.col("component") != F.col("hub_component"))
@@ -259,11 +266,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         )
         if tried is not None:
             pairs = pairs.join(tried, ["copy", "hub"], "left_anti")
-        pairs, n_pairs = compact(pairs)
+        pairs, n_pairs = compact(pairs, n_open)
         if not n_pairs:
             break
         tried = pairs if tried is None else tried.union(pairs)
-        found, n_found = compact(_verified(pairs, docs))
+        found, n_found = compact(_verified(pairs, docs), n_pairs, VERIFIED_PAIRS)
         if n_found:
             edges = found if edges is None else edges.union(found)
             labels = components(edges, "copy", "hub")
