@@ -147,7 +147,7 @@ def _copy_of(text: Column) -> Column:
 
 
 def _bands(docs: DataFrame) -> DataFrame:
-    """copy and bands of the different texts that have a word."""
+    """copy, bands, copies and first (id) of the different texts that have a word."""
 
     def worker():
         shingler = Shingler()
@@ -160,8 +160,10 @@ def _bands(docs: DataFrame) -> DataFrame:
 
         return work
 
-    marked = map_texts(docs, "text", ["copy"], ["bands array<bigint>"], worker)
-    return marked.groupBy("copy").agg(F.first("bands").alias("bands"))
+    marked = map_texts(docs, "text", ["copy", "id"], ["bands array<bigint>"], worker)
+    return marked.groupBy("copy").agg(
+        F.first("bands").alias("bands"), F.count("*").alias("copies"), F.min("id").alias("first")
+    )
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -232,7 +234,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     docs = rows.where(F.col("text").isNotNull()).withColumn("copy", _copy_of(F.col("text")))
     banded = stored(_bands(docs))
     n_rows = banded.count() * BANDS
-    bands = banded.select("copy", F.explode("bands").alias("key"))
+    bands = banded.select("copy", "copies", "first", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # Only rows that meet another go on; this is the one join of all bands.
     shared, _ = compact(shared, n_rows // 2)
@@ -244,8 +246,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             known = open_rows.join(labels.withColumnRenamed("node", "copy"), "copy", "left").withColumn(
                 "component", F.coalesce("component", "copy")
             )
-        # Later hubs differ from bucket to bucket, so a text meets several in a round.
-        hub_order = F.col("copy") if turn == 0 else F.xxhash64("copy", "key", F.lit(turn))
+        # What others were copied from is likely the text of most copies, or else the
+        # first; later hubs differ from bucket to bucket, so a text meets several.
+        hub_order = (
+            F.struct(-F.col("copies"), "first", "copy"),
+            F.struct("first", "copy"),
+            F.xxhash64("copy", "key", F.lit(turn)),
+        )[min(turn, 2)]
         hubs = (
             known.groupBy("key")
             .agg(
