@@ -19,7 +19,7 @@ BANDS, BAND_ROWS = 24, 5
 COORDINATES = BANDS * BAND_ROWS
 # Each round compares the members of every open bucket with one more of them.
 ROUNDS = 4
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
 # Pairs that a task compares.
 VERIFIED_PAIRS = 2_000
 # Distinct words whose hashes a Python worker keeps before it starts anew.
