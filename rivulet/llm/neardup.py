@@ -216,14 +216,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return labels
 
 
+def _labelled(open_rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``open_rows`` and the component that each text is known to be in, at first its own."""
+    if labels is None:
+        return open_rows.withColumn("component", F.col("copy"))
+    named = labels.withColumnRenamed("node", "copy")
+    return open_rows.join(named, "copy", "left").withColumn("component", F.coalesce("component", "copy"))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and class_id of every row: the smallest id of its near duplicates.
 
     Texts are linked if the Jaccard similarity of their sets of five-word shingles is at
     least 0.8; classes are the linked components. Exact copies are one text from the
     first step on. The texts of a bucket are not paired with each other: each is
-    compared with the bucket's hub, and buckets that still hold several classes choose
-    other hubs in the rounds that follow, so a round's work is linear in the rows.
+    compared with the bucket's hub, which then leaves the bucket, and buckets that still
+    hold several classes choose another in the rounds that follow, so a round's work is
+    linear in the rows.
 
     A null text is in a class of its own, empty texts are copies of each other, and a
     text of fewer than five words is one shingle. Every row has its own text's class,
@@ -241,11 +250,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     open_rows, n_open = compact(bands.join(small(shared, BROADCAST_ROWS), "key", "left_semi"), n_rows)
     edges = tried = labels = None
     for turn in range(ROUNDS):
-        known = open_rows.withColumn("component", F.col("copy"))
-        if labels is not None:
-            known = open_rows.join(labels.withColumnRenamed("node", "copy"), "copy", "left").withColumn(
-                "component", F.coalesce("component", "copy")
-            )
+        known = _labelled(open_rows, labels)
         # What others were copied from is likely the text of most copies, or else the
         # first; later hubs differ from bucket to bucket, so a text meets several.
         hub_order = (
@@ -264,18 +269,22 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .select("key", F.col("hub.copy").alias("hub"), F.col("hub.component").alias("hub_component"))
         )
         # Written first, so that the join can split the rows of a bucket.
-        hubs, _ = compact(hubs, n_open // 2)
+        hubs, n_hubs = compact(hubs, n_open // 2)
+        if not n_hubs:
+            break
+        members = known.join(small(hubs, BROADCAST_ROWS), "key").where(F.col("copy") != F.col("hub"))
         pairs = (
-            known.join(small(hubs, BROADCAST_ROWS), "key")
-            .where(F.col("component") != F.col("hub_component"))
+            members.where(F.col("component") != F.col("hub_component"))
             .select(F.least("copy", "hub").alias("copy"), F.greatest("copy", "hub").alias("hub"))
             .distinct()
         )
         if tried is not None:
             pairs = pairs.join(tried, ["copy", "hub"], "left_anti")
         pairs, n_pairs = compact(pairs, n_open)
+        # A hub that has met its whole bucket leaves it, so the next one is another.
+        open_rows, n_open = compact(members.select(*open_rows.columns), n_open)
         if not n_pairs:
-            break
+            continue
         tried = pairs if tried is None else tried.union(pairs)
         found, n_found = compact(_verified(pairs, docs), n_pairs, VERIFIED_PAIRS)
         if n_found:

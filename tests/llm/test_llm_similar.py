@@ -87,6 +87,26 @@ def test_planted_copies_in_a_large_group(spark):
     assert sorted(r["class_id"] for r in twice) == [0] * 6
 
 
+def template_texts(n: int, pairs: int, seed: int) -> list[tuple[int, str]]:
+    """Pages of one template, each 0.787 like every other; the last ``pairs`` pairs 0.818."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(374)]
+    texts = [base + [word() for _ in range(50)] for _ in range(n)]
+    for i in range(n - 2 * pairs, n, 2):
+        texts[i + 1][374:382] = texts[i][374:382]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_each_round_has_another_hub(spark):
+    # No text has copies, and the oldest of each bucket resembles none enough.
+    rows = [(100 * g + i, t) for g in range(8) for i, t in template_texts(5, 1, g)]
+    expected = brute_classes(rows)
+    assert sum(i != c for i, c in expected.items()) == 8
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == expected
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
