@@ -17,8 +17,13 @@ SIMILARITY = 0.8
 # A pair of similarity 0.8 misses all bands with probability (1 - 0.8 ** 5) ** 24 < 1e-4.
 BANDS, BAND_ROWS = 24, 5
 COORDINATES = BANDS * BAND_ROWS
-# Each round compares the members of every open bucket with one more of them.
+# Each round compares the members of every open bucket with one more of them; what is
+# open after these rounds is compared in blocks, every pair of it.
 ROUNDS = 4
+# Texts of a block and their bytes, both on average.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 2 << 20
+# Shingles whose occurrences are counted at once, a column each.
+BLOCK_COLUMNS = 4096
 BROADCAST_ROWS = 100_000
 # Pairs that a task compares.
 VERIFIED_PAIRS = 2_000
@@ -190,6 +195,81 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "copy binary, hub binary")
 
 
+def _together(hashes: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets ``left`` shares with each of ``right``."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, place, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = times[place] > 1  # what one set has alone counts in no pair
+    owner, place = owner[shared], np.unique(place[shared], return_inverse=True)[1]
+    both = np.zeros((len(left), len(right)))
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, BLOCK_COLUMNS):
+        here = slice(*np.searchsorted(place, (start, start + BLOCK_COLUMNS)))
+        there = np.zeros((len(sizes), BLOCK_COLUMNS), np.float32)
+        there[owner[here], place[here] - start] = 1
+        both += there[left] @ there[right].T
+    return both
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links of one block with itself or another (columns copy, component, block, text),
+    worked out exactly; of links that join the same components one is enough."""
+    names, known = table["copy"].to_pylist(), table["component"].to_pylist()
+    block = table["block"].to_numpy()
+    hashes, sizes = Shingler()(table["text"].to_pylist())
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block == block.max())
+    both = _together(hashes, sizes, left, right)
+    either = sizes[left][:, None] + sizes[right][None, :] - both
+    similar = (either > 0) & (both / np.maximum(either, 1) >= SIMILARITY)
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    found = []
+    for i, j in zip(*np.nonzero(similar)):
+        a, b = left[i], right[j]
+        x, y = root(known[a]), root(known[b])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((names[a], names[b]))
+    columns = zip(*found) if found else ((), ())
+    return pa.table([pa.array(c, pa.binary()) for c in columns], names=["copy", "hub"])
+
+
+def _rest(known: DataFrame, docs: DataFrame, n_open: int) -> DataFrame | None:
+    """Links (copy, hub) between all texts that meet in a bucket which is still open.
+
+    A bucket is dealt into blocks of bounded size by hash, and each block meets itself
+    and every other one of its bucket in a task of its own, so a large bucket is spread
+    over as many tasks as it needs and no pair becomes a row.
+    """
+    spread = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    spread, n_buckets = compact(spread.where("low < high").select("key"), n_open // 2)
+    if not n_buckets:
+        return None
+    members = known.join(small(spread, BROADCAST_ROWS), "key").select("key", "copy", "component")
+    members, n_members = compact(members, n_open)
+    wanted, _ = compact(members.select("copy").distinct(), n_members)
+    texts = docs.join(small(wanted, BROADCAST_ROWS), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
+    texts = stored(texts)
+    sized = members.join(texts.select("copy", F.octet_length("text").alias("bytes")), "copy")
+    enough = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1))
+    blocks, _ = compact(sized.groupBy("key").agg(enough.cast("int").alias("blocks")), n_buckets)
+    own = F.pmod(F.xxhash64("copy"), F.col("blocks")).cast("int")
+    placed = members.join(small(blocks, BROADCAST_ROWS), "key").withColumn("block", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = placed.select(
+        "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "copy", "component"
+    )
+    return met.join(texts, "copy").groupBy("key", "a", "b").applyInArrow(_block_links, "copy binary, hub binary")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component, the smallest node it is linked to, for all nodes of the edges.
 
@@ -232,7 +312,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     first step on. The texts of a bucket are not paired with each other: each is
     compared with the bucket's hub, which then leaves the bucket, and buckets that still
     hold several classes choose another in the rounds that follow, so a round's work is
-    linear in the rows.
+    linear in the rows. Buckets that are open after these rounds are compared in
+    blocks, every pair of their texts, so no two texts that met are left out; that is
+    quadratic in texts that share buckets and resemble each other too little.
 
     A null text is in a class of its own, empty texts are copies of each other, and a
     text of fewer than five words is one shingle. Every row has its own text's class,
@@ -271,6 +353,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         # Written first, so that the join can split the rows of a bucket.
         hubs, n_hubs = compact(hubs, n_open // 2)
         if not n_hubs:
+            open_rows, n_open = open_rows.limit(0), 0
             break
         members = known.join(small(hubs, BROADCAST_ROWS), "key").where(F.col("copy") != F.col("hub"))
         pairs = (
@@ -290,6 +373,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         if n_found:
             edges = found if edges is None else edges.union(found)
             labels = components(edges, "copy", "hub")
+    rest = _rest(_labelled(open_rows, labels), docs, n_open)
+    if rest is not None:
+        found = stored(rest)
+        if not found.isEmpty():
+            labels = components(found if edges is None else edges.union(found), "copy", "hub")
     return _by_row(rows, docs, labels, id_col)
 
 

@@ -107,6 +107,15 @@ def test_each_round_has_another_hub(spark):
     assert {r["doc_id"]: r["class_id"] for r in found} == expected
 
 
+def test_links_in_a_large_template_group(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 40)  # several blocks for each bucket
+    rows = template_texts(200, 20, 11)
+    expected = brute_classes(rows)
+    assert sum(i != c for i, c in expected.items()) == 20
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == expected
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(0)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
