@@ -10,9 +10,6 @@ from rivulet.llm import neardup, quality, rules
 from rivulet.llm.common import checkpoint_folder, in_small_batches, small, stored, table
 from rivulet.llm.queries import packed_pieces, quality_judged
 
-# Excluded ids of one stage that are broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that break a rule go, and documents that the rules reject. Null and empty
@@ -30,11 +27,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the smallest id stays. Rows that
-    repeat an id stay or go together."""
-    classes = neardup.classes(docs)
-    repeats = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(small(stored(repeats), BROADCAST_ROWS), "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near duplicates one row stays: that of the smallest id (null
+    last), then of the smallest text key; of rows that repeat both, the one whose other
+    columns are smallest. Null texts are in no class and stay."""
+    texts = stored(neardup.chosen(docs))
+    keyed = docs.withColumn("__copy", neardup.copy_of(F.col("text")))
+
+    def standing(of: DataFrame, how: str) -> DataFrame:
+        """Rows that stand for their class, or with ``left`` have none to share."""
+        named = of.toDF("__copy", "__best_id", "__best_copy", "__repeated")
+        own = (F.col("__copy") == F.col("__best_copy")) & F.col("doc_id").eqNullSafe(F.col("__best_id"))
+        joined = keyed.join(small(named, neardup.BROADCAST_ROWS), "__copy", how)
+        return joined.where(F.col("__best_copy").isNull() | own)
+
+    once = standing(texts, "left").where(~F.coalesce("__repeated", F.lit(False))).select(*docs.columns)
+    repeated = texts.where(F.col("repeated") & (F.col("copy") == F.col("best_copy")))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # Each task leaves one row of those that repeat id and text.
+    again = standing(repeated, "inner").groupBy("doc_id", "__copy").agg(
+        F.first("text").alias("text"), F.min(F.struct(*rest)).alias("__rest")
+    )
+    return once.unionByName(again.select("doc_id", "text", *(F.col(f"__rest.{c}").alias(c) for c in rest)))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _copy_of(text: Column) -> Column:
+def copy_of(text: Column) -> Column:
     """What exact copies of a text have in common, 16 bytes."""
     return F.unhex(F.md5(text))
 
@@ -322,7 +322,34 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     are ignored.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    docs = rows.where(F.col("text").isNotNull()).withColumn("copy", _copy_of(F.col("text")))
+    docs = _with_copy(rows)
+    return _by_row(rows, docs, _by_text(docs), id_col)
+
+
+def chosen(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each class of several rows: copy, a row for each of its texts (``copy_of``),
+    and the id and copy of the text that stands for the class. That is the smallest id
+    and, of texts with one id, the smallest copy; a null id comes last. ``repeated`` says
+    whether the text that stands for the class is on several rows, of any ids."""
+    by_text = _by_text(_with_copy(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))))
+    best = by_text.groupBy("component").agg(
+        F.min_by(F.struct("first", "copy", "n"), F.struct(F.col("first").isNull(), "first", "copy")).alias("best"),
+        F.sum("n").alias("rows"),
+    )
+    return by_text.join(best.where("rows > 1"), "component").select(
+        "copy",
+        F.col("best.first").alias("best_id"),
+        F.col("best.copy").alias("best_copy"),
+        (F.col("best.n") > 1).alias("repeated"),
+    )
+
+
+def _with_copy(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("text").isNotNull()).withColumn("copy", copy_of(F.col("text")))
+
+
+def _components(docs: DataFrame) -> DataFrame | None:
+    """node and component of the texts (columns copy, id, text) that are linked, if any."""
     banded = stored(_bands(docs))
     n_rows = banded.count() * BANDS
     bands = banded.select("copy", "copies", "first", F.explode("bands").alias("key"))
@@ -378,17 +405,22 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         found = stored(rest)
         if not found.isEmpty():
             labels = components(found if edges is None else edges.union(found), "copy", "hub")
-    return _by_row(rows, docs, labels, id_col)
+    return labels
 
 
-def _by_row(rows: DataFrame, docs: DataFrame, labels: DataFrame | None, id_col: str) -> DataFrame:
-    """The class of each row from the component of its text."""
+def _by_text(docs: DataFrame) -> DataFrame:
+    """copy, first (id), n (rows) and component of each text."""
+    labels = _components(docs)
     by_copy = docs.groupBy("copy").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     if labels is not None:
         by_copy = by_copy.join(labels.withColumnRenamed("node", "copy"), "copy", "left")
     else:
         by_copy = by_copy.withColumn("component", F.lit(None).cast("binary"))
-    by_copy = stored(by_copy.withColumn("component", F.coalesce("component", "copy")))
+    return stored(by_copy.withColumn("component", F.coalesce("component", "copy")))
+
+
+def _by_row(rows: DataFrame, docs: DataFrame, by_copy: DataFrame, id_col: str) -> DataFrame:
+    """The class of each row from the component of its text."""
     lowest = by_copy.groupBy("component").agg(
         F.min("first").alias("class_id"), F.sum("n").alias("rows"), F.count("*").alias("texts")
     )

@@ -97,6 +97,20 @@ def test_stages_on_hard_documents(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_one_row_of_each_class_stays(spark):
+    words = [f"word{i}" for i in range(100)]
+    a, near, other = " ".join(words), " ".join(words[:99] + ["x"]), "quite another text of more than five words"
+    rows = [(4, a, "en", "s", 1)] * 30 + [(4, a, "de", "r", 2), (4, other, "en", "s", 1), (5, near, "en", "s", 1)]
+    rows += [(None, near, "en", "s", 1), (None, a, "en", "s", 1), (7, "only here, with nothing like it", "en", "s", 1)]
+    rows += [(None, "no id and twice", "en", "s", 1)] * 2 + [(9, None, "en", "s", 1), (9, None, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(
+        [(4, a, "de", "r", 2), (4, other, "en", "s", 1), rows[35], rows[36], rows[38], rows[38]]
+    )
+
+
 def test_pipeline_equals_plain_stages(spark):
     docs = table(spark, SF, "documents")
     rows = [r.asDict() for r in docs.collect()]
