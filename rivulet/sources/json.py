@@ -42,16 +42,17 @@ def json_root(body: Column) -> Column:
 
 def parse_json_bodies(bodies: DataFrame, path: str | None = None) -> Parsed:
     """Items of landed JSON documents in (url, element) order, with the bodies
-    that are no JSON set aside."""
+    that are no JSON set aside. ``..`` reaches every level of a body."""
     root = json_root(F.col("body"))
     rejects = _with_path(bodies, path).where(root.isNull()).select(
         "url", F.lit("cannot parse JSON").alias("reason")
     )
-    return Parsed(_exploded(bodies, path, otherwise=F.lit(None)), rejects)
+    return Parsed(_exploded(bodies, path, otherwise=F.lit(None), whole=True), rejects)
 
 
 def json_items(bodies: DataFrame, path: str | None = None) -> Items:
-    """Like ``parse_json_bodies``, but a malformed body fails the run."""
+    """Like ``parse_json_bodies``, but a malformed body fails the run, and so does one
+    that ``..`` finds nested more than 32 deep."""
     failure = F.raise_error(F.concat(F.lit("cannot parse JSON at "), F.col("url")))
     return _exploded(_with_path(bodies, path), path, otherwise=failure)
 
@@ -70,10 +71,10 @@ def _with_path(bodies: DataFrame, path: str | None) -> DataFrame:
     return bodies
 
 
-def _exploded(bodies: DataFrame, path: str | None, otherwise: Column) -> Items:
+def _exploded(bodies: DataFrame, path: str | None, otherwise: Column, whole: bool = False) -> Items:
     selected = let(
         json_root(F.col("body")),
-        lambda root: F.when(root.isNotNull(), select_elements(root, path)).otherwise(
+        lambda root: F.when(root.isNotNull(), select_elements(root, path, whole)).otherwise(
             otherwise.cast("array<variant>")
         ),
     )

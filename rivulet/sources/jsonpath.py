@@ -38,8 +38,10 @@ _TOKEN = re.compile(
     re.X,
 )
 _MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
-# Levels that ``..`` goes down; a document that is nested deeper fails the run.
+# Levels that ``..`` goes down at once. Whole descents go on from there, as far as Spark's
+# JSON parser reads (what is nested deeper is no JSON to it); others fail the run.
 DESCENT = 32
+PARSED_DEPTH = 1000
 
 Step = Callable[[Column], Column]
 Test = Callable[[Column], Column]
@@ -48,8 +50,9 @@ Test = Callable[[Column], Column]
 class _Reader:
     """A path and how far it has been read."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: bool = False):
         self.path, self.text, self.at = path, path.strip(), 1
+        self.descend: Step = lambda nodes: _descendants(nodes, whole)
         if not self.text.startswith("$"):
             raise self.problem("must start with `$`")
 
@@ -69,14 +72,14 @@ class _Reader:
             member = self.take(_MEMBER)
             if member:
                 if member["deep"] == "..":
-                    found.append(_descendants)
+                    found.append(self.descend)
                 found.append(_children if member["every"] else _named(member["name"]))
                 continue
             opening = self.take(_OPENING)
             if not opening:
                 raise self.problem()
             if opening["deep"]:
-                found.append(_descendants)
+                found.append(self.descend)
             found.append(_joined(self.selectors()))
         return found
 
@@ -181,9 +184,10 @@ def _segments(path: str) -> list[str]:
     return [name or _unquoted(quoted) for name, quoted in found]
 
 
-def parse_path(path: str) -> list[Step]:
-    """The steps of a path; ``ValueError`` if it is malformed or unsupported."""
-    return _Reader(path).steps()
+def parse_path(path: str, whole: bool = False) -> list[Step]:
+    """The steps of a path; ``ValueError`` if it is malformed or unsupported. ``whole``
+    descents reach every level, others fail a document nested more than DESCENT deep."""
+    return _Reader(path, whole).steps()
 
 
 def elements(node: Column) -> Column:
@@ -259,7 +263,7 @@ def _nothing() -> Column:
     return F.array().cast("array<variant>")
 
 
-def _descendants(nodes: Column) -> Column:
+def _descendants(nodes: Column, whole: bool) -> Column:
     """The nodes and everything below, each right before what it holds. Levels are
     gathered one by one with the way to each node, then put in the order of the ways."""
 
@@ -278,16 +282,30 @@ def _descendants(nodes: Column) -> Column:
             lambda kids: F.struct(F.concat(state["all"], kids).alias("all"), kids.alias("level")),
         )
 
-    def ordered(state: Column) -> Column:
+    def further(state: Column, level: Column) -> Column:
+        return F.when(F.size(state["level"]) == 0, state).otherwise(deeper(state, level))
+
+    def rest(state: Column) -> Column:
+        return let(F.aggregate(F.sequence(F.lit(DESCENT), F.lit(PARSED_DEPTH)), state, further), finished)
+
+    def finished(state: Column) -> Column:
+        return ordered(state, failure(PARSED_DEPTH))
+
+    def failure(depth: int) -> Column:
+        return F.raise_error(F.lit(f"JSON is nested more than {depth} deep")).cast("array<variant>")
+
+    def ordered(state: Column, otherwise: Column) -> Column:
         by_way = F.array_sort(
             state["all"], lambda a, b: F.when(a["way"] < b["way"], -1).when(a["way"] > b["way"], 1).otherwise(0)
         )
-        failure = F.raise_error(F.lit(f"JSON is nested more than {DESCENT} deep")).cast("array<variant>")
-        return F.when(F.size(state["level"]) == 0, F.transform(by_way, lambda place: place["node"])).otherwise(failure)
+        return F.when(F.size(state["level"]) == 0, F.transform(by_way, lambda place: place["node"])).otherwise(otherwise)
 
     first = F.transform(nodes, start)
     levels = F.sequence(F.lit(0), F.lit(DESCENT))
-    return let(F.aggregate(levels, F.struct(first.alias("all"), first.alias("level")), deeper), ordered)
+    return let(
+        F.aggregate(levels, F.struct(first.alias("all"), first.alias("level")), deeper),
+        lambda state: ordered(state, rest(state) if whole else failure(DESCENT)),
+    )
 
 
 def _test(path: list[str], op: str | None, literal: str | None) -> Test:
@@ -322,11 +340,11 @@ def _test(path: list[str], op: str | None, literal: str | None) -> Test:
     return keep
 
 
-def select_elements(root: Column, path: str | None) -> Column:
+def select_elements(root: Column, path: str | None, whole: bool = False) -> Column:
     """The items of one document: an array root, or the one array a path lands
     on, gives its elements; otherwise every match is an item of its own."""
     nodes = F.array(root)
-    for step in parse_path(path) if path and path.strip() else []:
+    for step in parse_path(path, whole) if path and path.strip() else []:
         nodes = step(nodes)
     return let(
         nodes,

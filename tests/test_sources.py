@@ -193,6 +193,14 @@ def test_descent_order_and_depth(spark):
         json_items(bodies(spark, ("u", json.dumps(deep))), "$..x").df.collect()
 
 
+def test_descent_reaches_every_level(spark):
+    chain = lambda n: '{"a":' * (n - 1) + '{"id":%d}' % n + "}" * (n - 1)
+    landed = bodies(spark, *((str(n), chain(n)) for n in (3, 33, 34, 900, 1500)))
+    parsed = parse_json_bodies(landed, "$..id")
+    assert sorted(r["value"] for r in rows(parsed.items)) == [3, 33, 34, 900]
+    assert [tuple(r) for r in parsed.rejects.collect()] == [("1500", "cannot parse JSON")]
+
+
 @pytest.mark.parametrize("path", ["$$$nonsense", "data", "$.a[", "$..", "$.a[?(@.b ~ 1)]", "$[x]", "$[1,]", "$[?1]", "$[?@.a &&]", "$[?(@.a]", "$[1:2"])
 def test_bad_json_path(spark, path):
     with pytest.raises(ValueError, match="bad JSONPath"):
