@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rivulet.llm import ann, bytebpe, chat, language, neardup, packing, quality, rules, tokens, toxicity
+from rivulet.llm import (
+    ann,
+    balltree,
+    bytebpe,
+    chat,
+    language,
+    mixing,
+    neardup,
+    packing,
+    quality,
+    repair,
+    rules,
+    tokens,
+    toxicity,
+)
 from rivulet.llm.common import fold, table, training_row
 
 TOKEN_LIMIT = 2048
@@ -162,6 +176,20 @@ def op10_piece_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -175,6 +203,9 @@ QUERIES = {
         op8_line_first_rules,
         op9_rank_synchronous_counts,
         op10_piece_bpe_round_trip,
+        op11_subset_sum_mix,
+        op12_ball_tree_search,
+        op13_auction_repair,
     )
 }
 
