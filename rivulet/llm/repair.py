@@ -102,11 +102,12 @@ def cheapest_edits(codes: bytes) -> tuple[int, str]:
             prices[node] = lowest
         for state in range(4):
             _auction(arcs, prices, 4 * start + state, beyond)
-    # A tight arc may lead where no tight path goes on.
+    # A tight arc may lead where no tight path goes on. Insertions lead at most 2 nodes on,
+    # arcs to the next row at least 3.
     open_ = bytearray(4 * n) + bytearray((1, 0, 0, 1))
     for node in range(4 * n - 1, -1, -1):
         open_[node] = any(
-            step > 3 and open_[node + step] and prices[node] == cost + prices[node + step]
+            step > 2 and open_[node + step] and prices[node] == cost + prices[node + step]
             for _, cost, step in arcs[node >> 2][node & 3]
         )
         if not node & 3:

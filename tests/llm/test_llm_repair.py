@@ -64,7 +64,7 @@ def brute(rows: list[tuple]) -> dict:
         role = "user" if how == 4 else role
         after[conv] += [(turn, role, text)] * (0 if how == 0 else 2 if how == 3 else 1)
     out = {}
-    for conv in ids:
+    for conv in dict.fromkeys(ids):
         key = lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).digest())
         here = sorted(after[conv], key=key)
         faults, said = [], set()
