@@ -12,6 +12,8 @@ from rivulet.session import checkpointed
 
 # monotonically_increasing_id() is (partition << 33) + row within the partition.
 ROW_BITS = 33
+# Items that may meet in one task from every other.
+TOP_ROWS = 10_000
 
 
 def sort(items: Items, by: str, order: str = "asc", compare: str = "auto") -> Items:
@@ -94,14 +96,52 @@ def _row_count(n) -> int:
 
 
 def limit(items: Items, n: int) -> Items:
-    """The first ``n`` items. One lazy plan for every ``n``: each task keeps its own
-    first ``n``, and the first ``n`` of those are the result, so what moves is at most
-    ``n`` rows a task and the input is neither sorted nor stored."""
+    """The first ``n`` items. Up to TOP_ROWS each task keeps its own first ``n`` and
+    those meet in one; beyond that the key of the ``n``-th item is looked up in the
+    sorted keys alone, and the items up to it stay where they are."""
     items.require_batch("limit")
     n = _row_count(n)
     if items.max_rows is not None and items.max_rows <= n:
         return items
-    return items.with_df(items.df.orderBy(*items.sort_columns()).limit(n), max_rows=n)
+    if n <= TOP_ROWS or not items.order:
+        return items.with_df(items.df.orderBy(*items.sort_columns()).limit(n), max_rows=n)
+    return items.with_df(_upto(items, n), max_rows=n)
+
+
+def _upto(items: Items, n: int) -> DataFrame:
+    """The first ``n`` rows without meeting in a task: those before the ``n``-th row's
+    key, and of those that share it as many as are due."""
+    names = [key.column for key in items.order]
+    keys = replace(items, df=items.df.select(*map(quoted, names)))
+    place = items.fresh_hidden(1)[0]
+    placed = numbered(keys, place)
+    edge = placed.where(quoted(place) == n).select(F.struct(*map(quoted, names)).alias("edge"))
+    pivot = checkpointed(edge).scalar()  # one row
+    before, same = _before(items.order, pivot), F.lit(True)
+    for name in names:
+        same = same & quoted(name).eqNullSafe(pivot.getField(name))
+    counts = keys.df.agg(F.count_if(before), F.count_if(same & pivot.isNotNull())).first()
+    if not counts[1]:  # fewer rows than n
+        return items.df
+    due = n - counts[0]
+    if due == counts[1]:
+        return items.df.where(before | same)
+    return items.df.where(before).union(items.df.where(same).limit(due))
+
+
+def _before(order: tuple[OrderKey, ...], pivot: Column) -> Column:
+    """Whether a row comes before ``pivot``, a struct of the keys, in ``order``."""
+    out = F.lit(False)
+    for key in reversed(order):
+        own, edge = quoted(key.column), pivot.getField(key.column)
+        less = own > edge if key.descending else own < edge
+        less = (
+            F.when(own.isNull(), edge.isNotNull() & F.lit(not key.nulls_last))
+            .when(edge.isNull(), F.lit(key.nulls_last))
+            .otherwise(less)
+        )
+        out = less | (own.eqNullSafe(edge) & out)
+    return out
 
 
 def tail(items: Items, n: int) -> Items:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import NOW, column
 from rivulet import Items, union
+from rivulet.operators import order
 from workload import filters, ordering, pipes
 
 SF = "/root/testdata/sf0.001"
@@ -42,10 +43,28 @@ def test_cuts_are_top_k(spark):
 
 
 @pytest.mark.parametrize("n", [101, 1000])
-def test_larger_cuts_are_thinned_on_the_map_side(spark, n):
-    text = plan(Items.from_table(spark.range(9_000), "id").limit(n).df)
-    assert f"TakeOrderedAndProject(limit={n}" in text
-    assert text.count("WindowGroupLimit") == 2 and "Partial" in text
+def test_larger_cuts_never_meet_in_one_task(spark, monkeypatch, n):
+    monkeypatch.setattr(order, "TOP_ROWS", 100)
+    for cut in (Items.limit, Items.tail):
+        items = cut(Items.from_table(spark.range(0, 9_000, 1, 6), "id"), n)
+        text = plan(items.df)
+        assert "TakeOrdered" not in text and "GlobalLimit" not in text
+        # The rows themselves are filtered where they are read.
+        assert "Exchange" not in text.split("Subquery")[0]
+        want = range(n) if cut is Items.limit else range(9_000 - n, 9_000)
+        assert column(items, "id") == list(want)
+
+
+@pytest.mark.parametrize("n", [13, 38, 100])
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_larger_cuts_with_ties_and_missing(spark, make, monkeypatch, n, direction):
+    records = [{"a": (i * 7) % 5 if i % 3 else None, "b": i} for i in range(60)]
+    typed = make.typed(records, "a bigint, b bigint").sort("a", direction)
+    small = [column(typed.limit(n), "b"), column(typed.reverse().limit(n), "b"), column(typed.tail(n), "b")]
+    monkeypatch.setattr(order, "TOP_ROWS", 0)
+    assert [column(typed.limit(n), "b"), column(typed.reverse().limit(n), "b"), column(typed.tail(n), "b")] == small
+    tied = Items.from_table(typed.to_df(), "a").limit(n)
+    assert tied.df.count() == min(n, 60)
 
 
 def test_unique_reads_its_input_once(spark):
