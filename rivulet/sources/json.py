@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rivulet.functions.views import let
 from rivulet.items import DYNAMIC_COLUMN, Items
-from rivulet.sources.jsonpath import elements, members, parse_path, select_elements
+from rivulet.sources.jsonpath import parse_path, select_elements
+from rivulet.sources.jsonvalues import elements, members
 from rivulet.sources.landed import (
     ITEM_KEY,
     SOURCE_KEY,
@@ -47,12 +48,11 @@ def parse_json_bodies(bodies: DataFrame, path: str | None = None) -> Parsed:
     rejects = _with_path(bodies, path).where(root.isNull()).select(
         "url", F.lit("cannot parse JSON").alias("reason")
     )
-    return Parsed(_exploded(bodies, path, otherwise=F.lit(None), whole=True), rejects)
+    return Parsed(_exploded(bodies, path, otherwise=F.lit(None)), rejects)
 
 
 def json_items(bodies: DataFrame, path: str | None = None) -> Items:
-    """Like ``parse_json_bodies``, but a malformed body fails the run, and so does one
-    that ``..`` finds nested more than 32 deep."""
+    """Like ``parse_json_bodies``, but a malformed body fails the run."""
     failure = F.raise_error(F.concat(F.lit("cannot parse JSON at "), F.col("url")))
     return _exploded(_with_path(bodies, path), path, otherwise=failure)
 
@@ -71,10 +71,10 @@ def _with_path(bodies: DataFrame, path: str | None) -> DataFrame:
     return bodies
 
 
-def _exploded(bodies: DataFrame, path: str | None, otherwise: Column, whole: bool = False) -> Items:
+def _exploded(bodies: DataFrame, path: str | None, otherwise: Column) -> Items:
     selected = let(
         json_root(F.col("body")),
-        lambda root: F.when(root.isNotNull(), select_elements(root, path, whole)).otherwise(
+        lambda root: F.when(root.isNotNull(), select_elements(root, path)).otherwise(
             otherwise.cast("array<variant>")
         ),
     )

@@ -2,9 +2,12 @@
 
 Steps: ``.name``, ``.*``, ``..name``, ``..*``, ``[selectors]`` and ``..[selectors]``, where
 selectors are names in quotes, indexes, slices ``a:b:c``, ``*`` and ``?test``, joined by
-commas. Tests compare ``@.a.b`` with a literal or ask whether it is there, and combine
-with ``!``, ``&&``, ``||`` and parentheses. Each step maps an array of matches to an
-array of matches, so a path costs no shuffle.
+commas. Tests compare literals, queries from ``@`` (the node) or ``$`` (the document) that
+name one place, and the functions ``length(value)``, ``count(query)`` and
+``value(query)``; or they ask whether a query finds anything, or call
+``match(value, 'pattern')`` and ``search(value, 'pattern')``. They combine with ``!``,
+``&&``, ``||`` and parentheses. Each step maps an array of matches to an array of matches,
+so a path costs no shuffle.
 """
 
 from __future__ import annotations
@@ -12,12 +15,24 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
+from rivulet.functions.dialect import spark_pattern
 from rivulet.functions.views import let
 from rivulet.items import variant_path
-from rivulet.operators.rules import COMPARE
+from rivulet.sources.jsonvalues import (
+    COMPARISONS,
+    Value,
+    elements,
+    has_text,
+    length_of,
+    literal_value,
+    members,
+    node_value,
+    number_value,
+)
 
 _NAME = r"[A-Za-z_\u0080-\uffff][\w\u0080-\uffff]*"
 _QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
@@ -31,28 +46,39 @@ _SELECTOR = re.compile(
     re.X,
 )
 _TOKEN = re.compile(
-    rf"""\s*(?:(?P<mark>&&|\|\||!(?!=)|\(|\))
-    | @(?P<path>(?:\.{_NAME}|\[(?:{_QUOTED})\])*)
+    rf"""\s*(?:(?P<mark>&&|\|\||!(?!=)|\(|\)|,)
+    | (?P<start>[@$])
     | (?P<op>==|!=|<=|>=|<|>)
+    | (?P<call>[a-z][a-z0-9_]*)\(
     | (?P<value>-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|{_QUOTED}|true|false|null))""",
     re.X,
 )
-_MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
-# Levels that ``..`` goes down at once. Whole descents go on from there, as far as Spark's
-# JSON parser reads (what is nested deeper is no JSON to it); others fail the run.
-DESCENT = 32
+# Levels that ``..`` goes down before it looks whether there are more; then it goes on in
+# spans that double, as far as Spark's JSON parser reads (what is deeper is no JSON to it).
+DESCENT = 8
 PARSED_DEPTH = 1000
 
 Step = Callable[[Column], Column]
 Test = Callable[[Column], Column]
+# From a node and what is to be made of the value, which is computed once, to that.
+WithValue = Callable[[Column, Callable[[Value], Column]], Column]
+
+
+class _Operand(NamedTuple):
+    """A part of a test by what it can serve as: a value to compare, a list of nodes, an
+    answer. ``literal`` holds the value of a literal, in a tuple."""
+
+    value: WithValue | None = None
+    nodes: Step | None = None
+    answer: Test | None = None
+    literal: tuple | None = None
 
 
 class _Reader:
     """A path and how far it has been read."""
 
-    def __init__(self, path: str, whole: bool = False):
-        self.path, self.text, self.at = path, path.strip(), 1
-        self.descend: Step = lambda nodes: _descendants(nodes, whole)
+    def __init__(self, path: str, root: Column | None):
+        self.path, self.text, self.at, self.root = path, path.strip(), 1, root
         if not self.text.startswith("$"):
             raise self.problem("must start with `$`")
 
@@ -67,23 +93,35 @@ class _Reader:
         return found
 
     def steps(self) -> list[Step]:
-        found = []
-        while self.at < len(self.text):
-            member = self.take(_MEMBER)
-            if member:
-                if member["deep"] == "..":
-                    found.append(self.descend)
-                found.append(_children if member["every"] else _named(member["name"]))
-                continue
-            opening = self.take(_OPENING)
-            if not opening:
-                raise self.problem()
-            if opening["deep"]:
-                found.append(self.descend)
-            found.append(_joined(self.selectors()))
+        found, _ = self.segments()
+        if self.at < len(self.text):
+            raise self.problem()
         return found
 
-    def selectors(self) -> list[Step]:
+    def segments(self) -> tuple[list[Step], list[str | int] | None]:
+        """The steps from here on, and the names and indexes that they consist of if
+        they lead to one place at most."""
+        found: list[Step] = []
+        place: list[str | int] | None = []
+        while True:
+            member = self.take(_MEMBER)
+            opening = None if member else self.take(_OPENING)
+            if member:
+                deep, step, part = member["deep"] == "..", _children, None
+                if member["name"]:
+                    step, part = _named(member["name"]), member["name"]
+            elif opening:
+                chosen = self.selectors()
+                deep, step = bool(opening["deep"]), _joined([s for s, _ in chosen])
+                part = chosen[0][1] if len(chosen) == 1 else None
+            else:
+                return found, place
+            if deep:
+                found.append(_descendants)
+            found.append(step)
+            place = None if place is None or deep or part is None else [*place, part]
+
+    def selectors(self) -> list[tuple[Step, str | int | None]]:
         found = []
         while True:
             selector = self.take(_SELECTOR)
@@ -98,18 +136,28 @@ class _Reader:
                 self.at -= 1
                 raise self.problem()
 
-    def selector(self, found: re.Match) -> Step:
+    def selector(self, found: re.Match) -> tuple[Step, str | int | None]:
         if found["quoted"]:
-            return _named(_unquoted(found["quoted"]))
+            name = self.unquoted(found["quoted"])
+            return _named(name), name
         if found["slice"]:
-            return _sliced(*(int(found[part]) if found[part] else None for part in ("start", "stop", "step")))
+            bounds = (int(found[part]) if found[part] else None for part in ("start", "stop", "step"))
+            return _sliced(*bounds), None
         if found["index"]:
-            return _indexed(int(found["index"]))
+            return _indexed(int(found["index"])), int(found["index"])
         if found["every"]:
-            return _children
+            return _children, None
         test = self.any_of()
         self.take(re.compile(r"\s*"))
-        return lambda nodes: F.filter(_children(nodes), lambda n: F.coalesce(test(n), F.lit(False)))
+        return (lambda nodes: F.filter(_children(nodes), lambda n: F.coalesce(test(n), F.lit(False)))), None
+
+    def unquoted(self, text: str) -> str:
+        """A quoted text with the escapes of JSON, and an escaped quote of its own kind."""
+        inner = re.sub(r"""\\.|\"""", lambda m: {"\\'": "'", '"': '\\"'}.get(m.group(), m.group()), text[1:-1])
+        try:
+            return json.loads(f'"{inner}"', strict=False)
+        except ValueError:
+            raise self.problem(f"bad escape in {text}") from None
 
     # Tests, loosest first: a || b, a && b, !a, (a), comparison.
 
@@ -137,21 +185,81 @@ class _Reader:
         left = self.operand()
         op = self.token("op")
         if not op:
-            if left["path"] is None:
+            if left.answer is None:
                 raise self.problem("a test compares, or asks for a path")
-            return _test(_segments(left["path"]), None, None)
-        right = self.operand()
-        if (left["path"] is None) == (right["path"] is None):
-            raise self.problem("a test compares a path with a literal")
-        if left["path"] is None:
-            return _test(_segments(right["path"]), _MIRRORED.get(op["op"], op["op"]), left["value"])
-        return _test(_segments(left["path"]), op["op"], right["value"])
-
-    def operand(self) -> re.Match:
-        found = self.token("path") or self.token("value")
+            return left.answer
+        first, second = self.value(left), self.value(self.operand())
+        compare = COMPARISONS[op["op"]]
+        return lambda n: first(n, lambda a: second(n, lambda b: compare(a, b)))
+
+    def value(self, operand: _Operand) -> WithValue:
+        if operand.value is None:
+            raise self.problem("only a literal, a query for one place or a function with a value can be compared")
+        return operand.value
+
+    def operand(self) -> _Operand:
+        start = self.token("start")
+        if start:
+            return self.query(start["start"] == "$")
+        call = self.token("call")
+        if call:
+            return self.function(call["call"])
+        found = self.token("value")
         if not found:
             raise self.problem()
-        return found
+        text = found["value"]
+        held = self.unquoted(text) if text[0] in "'\"" else json.loads(text)
+        return _Operand(value=lambda n, body: body(literal_value(held)), literal=(held,))
+
+    def query(self, from_root: bool) -> _Operand:
+        steps, place = self.segments()
+
+        def start(node: Column) -> Column:
+            return self.root if from_root else node
+
+        def nodes(node: Column) -> Column:
+            return _stepped(F.array(start(node)), steps)
+
+        if place is None:
+            return _Operand(nodes=nodes, answer=lambda n: F.size(nodes(n)) > 0)
+        return _Operand(
+            value=lambda n, body: let(_at(start(n), place), lambda found: body(node_value(found))),
+            nodes=nodes,
+            answer=lambda n: _at(start(n), place).isNotNull(),
+        )
+
+    def function(self, name: str) -> _Operand:
+        given = [self.operand()]
+        while self.mark(","):
+            given.append(self.operand())
+        if not self.mark(")"):
+            raise self.problem()
+        wanted = {"length": 1, "count": 1, "value": 1, "match": 2, "search": 2}.get(name)
+        if wanted is None:
+            raise self.problem(f"there is no function `{name}`")
+        if len(given) != wanted:
+            raise self.problem(f"`{name}` takes {wanted} argument{'s' * (wanted > 1)}")
+        if name in ("count", "value"):
+            nodes = given[0].nodes
+            if nodes is None:
+                raise self.problem(f"`{name}` takes a query")
+            if name == "count":
+                return _Operand(value=lambda n, body: body(number_value(F.size(nodes(n)))))
+            only = lambda found: F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+            return _Operand(value=lambda n, body: let(let(nodes(n), only), lambda found: body(node_value(found))))
+        value = self.value(given[0])
+        if name == "length":
+            return _Operand(
+                value=lambda n, body: let(value(n, length_of), lambda size: body(number_value(size)))
+            )
+        if given[1].literal is None or not isinstance(given[1].literal[0], str):
+            raise self.problem(f"the pattern of `{name}` is a text in quotes")
+        pattern = given[1].literal[0]
+        try:
+            java = spark_pattern(f"^(?:{pattern})$" if name == "match" else pattern).java
+        except ValueError as reason:
+            raise self.problem(str(reason)) from None
+        return _Operand(answer=lambda n: value(n, lambda v: has_text(v, java)))
 
     def token(self, kind: str) -> re.Match | None:
         found = _TOKEN.match(self.text, self.at)
@@ -175,29 +283,30 @@ def _folded(tests: list[Test], node: Column, join: Callable[[Column, Column], Co
     return result
 
 
-def _unquoted(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text[1:-1])
-
-
-def _segments(path: str) -> list[str]:
-    found = re.findall(rf"\.({_NAME})|\[({_QUOTED})\]", path)
-    return [name or _unquoted(quoted) for name, quoted in found]
+def parse_path(path: str, root: Column | None = None) -> list[Step]:
+    """The steps of a path over the document ``root``; ``ValueError`` if it is malformed
+    or unsupported, which can be asked without a document."""
+    return _Reader(path, root).steps()
 
 
-def parse_path(path: str, whole: bool = False) -> list[Step]:
-    """The steps of a path; ``ValueError`` if it is malformed or unsupported. ``whole``
-    descents reach every level, others fail a document nested more than DESCENT deep."""
-    return _Reader(path, whole).steps()
-
-
-def elements(node: Column) -> Column:
-    """Elements of a JSON array, NULL for anything else."""
-    return F.try_variant_get(node, "$", "array<variant>")
+def _stepped(nodes: Column, steps: list[Step]) -> Column:
+    for step in steps:
+        nodes = step(nodes)
+    return nodes
 
 
-def members(node: Column) -> Column:
-    """Members of a JSON object, NULL for anything else."""
-    return F.try_variant_get(node, "$", "map<string,variant>")
+def _at(node: Column, place: list[str | int]) -> Column:
+    """What names and indexes lead to, NULL if nothing is there."""
+    names: list[str] = []
+    for part in [*place, None]:
+        if isinstance(part, str):
+            names.append(part)
+            continue
+        if names:
+            node, names = F.try_variant_get(node, variant_path(names), "variant"), []
+        if part is not None:
+            node = _element(node, part)
+    return node
 
 
 def _named(name: str) -> Step:
@@ -207,12 +316,13 @@ def _named(name: str) -> Step:
     )
 
 
-def _indexed(index: int) -> Step:
-    def pick(node: Column) -> Column:
-        values = elements(node)
-        return F.get(values, F.lit(index) if index >= 0 else F.size(values) + index)
+def _element(node: Column, index: int) -> Column:
+    place = lambda values: F.lit(index) if index >= 0 else F.size(values) + index
+    return let(elements(node), lambda values: F.get(values, place(values)))
 
-    return lambda nodes: F.array_compact(F.transform(nodes, pick))
+
+def _indexed(index: int) -> Step:
+    return lambda nodes: F.array_compact(F.transform(nodes, lambda n: _element(n, index)))
 
 
 def _children(nodes: Column) -> Column:
@@ -263,7 +373,7 @@ def _nothing() -> Column:
     return F.array().cast("array<variant>")
 
 
-def _descendants(nodes: Column, whole: bool) -> Column:
+def _descendants(nodes: Column) -> Column:
     """The nodes and everything below, each right before what it holds. Levels are
     gathered one by one with the way to each node, then put in the order of the ways."""
 
@@ -282,72 +392,35 @@ def _descendants(nodes: Column, whole: bool) -> Column:
             lambda kids: F.struct(F.concat(state["all"], kids).alias("all"), kids.alias("level")),
         )
 
-    def further(state: Column, level: Column) -> Column:
-        return F.when(F.size(state["level"]) == 0, state).otherwise(deeper(state, level))
+    def further(state: Column, first: int, last: int) -> Column:
+        gone = F.aggregate(F.sequence(F.lit(first), F.lit(last)), state, deeper)
+        return F.when(F.size(state["level"]) == 0, state).otherwise(gone)
 
-    def rest(state: Column) -> Column:
-        return let(F.aggregate(F.sequence(F.lit(DESCENT), F.lit(PARSED_DEPTH)), state, further), finished)
-
-    def finished(state: Column) -> Column:
-        return ordered(state, failure(PARSED_DEPTH))
-
-    def failure(depth: int) -> Column:
-        return F.raise_error(F.lit(f"JSON is nested more than {depth} deep")).cast("array<variant>")
-
-    def ordered(state: Column, otherwise: Column) -> Column:
+    def ordered(state: Column) -> Column:
         by_way = F.array_sort(
             state["all"], lambda a, b: F.when(a["way"] < b["way"], -1).when(a["way"] > b["way"], 1).otherwise(0)
         )
-        return F.when(F.size(state["level"]) == 0, F.transform(by_way, lambda place: place["node"])).otherwise(otherwise)
+        return F.transform(by_way, lambda place: place["node"])
 
     first = F.transform(nodes, start)
-    levels = F.sequence(F.lit(0), F.lit(DESCENT))
-    return let(
-        F.aggregate(levels, F.struct(first.alias("all"), first.alias("level")), deeper),
-        lambda state: ordered(state, rest(state) if whole else failure(DESCENT)),
-    )
+    state, done = F.struct(first.alias("all"), first.alias("level")), 0
+    while done <= PARSED_DEPTH:
+        upto = max(2 * done, DESCENT)
+        state = let(state, _spanning(further, done, upto - 1))
+        done = upto
+    return let(state, ordered)
 
 
-def _test(path: list[str], op: str | None, literal: str | None) -> Test:
-    where = variant_path(path)
-    if op is None:
-        return lambda n: F.try_variant_get(n, where, "variant").isNotNull()
-    value = _unquoted(literal) if literal[0] in "'\"" else json.loads(literal)
+def _spanning(further: Callable[[Column, int, int], Column], first: int, last: int) -> Step:
+    return lambda state: further(state, first, last)
 
-    def keep(node: Column) -> Column:
-        found = F.try_variant_get(node, where, "variant")
-        kind = F.schema_of_variant(found)
-        if value is None:
-            same, left, right = kind == "VOID", F.lit(0), F.lit(0)
-        elif isinstance(value, bool):
-            same, left = kind == "BOOLEAN", F.try_variant_get(node, where, "boolean")
-            right = F.lit(value)
-        elif isinstance(value, str):
-            same, left = kind == "STRING", F.try_variant_get(node, where, "string")
-            right = F.lit(value)
-        else:
-            same = kind.rlike("^(BIGINT|DOUBLE|DECIMAL)")
-            left, right = F.try_variant_get(node, where, "double"), F.lit(float(value))
-        same = F.coalesce(same, F.lit(False))
-        if op == "!=":
-            return ~same | F.coalesce(left != right, F.lit(False))
-        if op in ("<", ">") and (value is None or isinstance(value, bool)):
-            return F.lit(False)
-        if op in ("<=", ">=") and (value is None or isinstance(value, bool)):
-            return same & (left == right)
-        return same & F.coalesce(COMPARE[op](left, right), F.lit(False))
-
-    return keep
 
-
-def select_elements(root: Column, path: str | None, whole: bool = False) -> Column:
+def select_elements(root: Column, path: str | None) -> Column:
     """The items of one document: an array root, or the one array a path lands
     on, gives its elements; otherwise every match is an item of its own."""
-    nodes = F.array(root)
-    for step in parse_path(path, whole) if path and path.strip() else []:
-        nodes = step(nodes)
+    steps = parse_path(path, root) if path and path.strip() else []
     return let(
-        nodes,
+        _stepped(F.array(root), steps),
         lambda found: F.coalesce(
             F.when(F.size(found) == 1, elements(F.get(found, F.lit(0)))), found
         ),

@@ -182,6 +182,78 @@ def test_more_json_paths(spark, path, expected):
     assert sorted(found) == sorted(expected) if path == "$..id" else found == expected
 
 
+HALL = {
+    "top": 2,
+    "names": ["Ann", "Bo"],
+    "rows": [
+        {"id": 0, "name": "Ann", "n": 1, "tags": [], "at": {"x": [1, 2]}},
+        {"id": 1, "name": "Bo", "n": 2, "tags": ["a", "b"], "at": {"x": [2, 1]}},
+        {"id": 2, "name": "Bob\nAnn", "n": 2.0, "tags": ["b"], "at": None},
+        {"id": 3, "name": 5, "n": "2", "tags": {"a": 1, "b": 2, "c": 3}},
+    ],
+}
+
+
+@pytest.mark.parametrize(
+    "test, expected",
+    [
+        ("length(@.name) == 3", [0]),
+        ("length(@.tags) >= 2", [1, 3]),
+        ("length(@.n) == length(@.nope)", [0, 1, 2]),
+        ("length(@.name) != 3", [1, 2, 3]),
+        ("count(@.tags[*]) == 2", [1]),
+        ("count(@..x[*]) > 0", [0, 1]),
+        ("count(@['id','n']) == 2 && count(@.nope.*) < 1", [0, 1, 2, 3]),
+        ("match(@.name, 'B.*')", [1]),
+        ("match(@.name, 'A|Bo')", [1]),
+        ("search(@.name, 'nn$')", [0, 2]),
+        ("!search(@.name, 'B')", [0, 3]),
+        ("value(@..x[0]) == 2", [1]),
+        ("value(@.tags.*) == 'b'", [2]),
+        ("value(@.tags[*]) == @.nope", [0, 1, 3]),
+        ("@.n == $.top", [1, 2]),
+        ("@.n < $.top", [0]),
+        ("@.name == $.names[-1]", [1]),
+        ("count($.rows[?@.n == 2]) == 2", [0, 1, 2, 3]),
+        ("@.at.x[0] > @.at.x[1]", [1]),
+        ("@.at.x == $.rows[0].at.x", [0]),
+        ("@.tags == $.rows[2].tags", [2]),
+        ("@.at == null", [2]),
+        ("@.at", [0, 1, 2]),
+        ("@.tags[?@ == 'a']", [1]),
+        ("@.tags[1]", [1]),
+        ("@.nope <= @.none", [0, 1, 2, 3]),
+        ("@.nope == null", []),
+        ("@.name == 'Bob\\nAnn'", [2]),
+        ("1 < 2", [0, 1, 2, 3]),
+    ],
+)
+def test_functions_and_queries_in_tests(spark, test, expected):
+    found = json_items(bodies(spark, ("u", json.dumps(HALL))), f"$.rows[?{test}].id")
+    assert [r["value"] for r in rows(found)] == expected
+
+
+@pytest.mark.parametrize(
+    "test, reason",
+    [
+        ("length(@.a)", "compares"),
+        ("length(@.*) > 1", "one place"),
+        ("count('a') > 1", "takes a query"),
+        ("count(1, 2) > 1", "takes 1 argument"),
+        ("match(@.a)", "takes 2 arguments"),
+        ("match(@.a, @.b)", "in quotes"),
+        ("match(@.a, '(')", "bad regex"),
+        ("match(@.a, 'x') == true", "can be compared"),
+        ("@.* == 1", "one place"),
+        ("size(@.a) == 1", "no function `size`"),
+        ("@.a == '\\q'", "bad escape"),
+    ],
+)
+def test_bad_functions_are_reported_before_any_job(spark, test, reason):
+    with pytest.raises(ValueError, match=f"bad JSONPath.*{reason}"):
+        json_items(bodies(spark, ("u", "[]")), f"$[?{test}]")
+
+
 def test_descent_order_and_depth(spark):
     tree = {"a": [{"b": 1}, [2, {"b": [3]}]], "c": {"b": 4}}
     found = [r["value"] for r in rows(json_items(bodies(spark, ("u", json.dumps(tree))), "$..b"))]
@@ -189,8 +261,9 @@ def test_descent_order_and_depth(spark):
     deep = 1
     for _ in range(40):
         deep = [deep]
-    with pytest.raises(PySparkException, match="nested"):
-        json_items(bodies(spark, ("u", json.dumps(deep))), "$..x").df.collect()
+    landed = bodies(spark, ("u", json.dumps({"x": deep, "y": [deep]})))
+    for items in (json_items(landed, "$..[?@ == 1]"), parse_json_bodies(landed, "$..[?@ == 1]").items):
+        assert [r["value"] for r in rows(items)] == [1, 1]
 
 
 def test_descent_reaches_every_level(spark):

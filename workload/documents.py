@@ -230,6 +230,45 @@ def json_path_tests(spark, sf):
     return json_items(_turn_bodies(spark, sf), path).to_typed("role string, turn bigint").to_df()
 
 
+def json_path_deep(spark, sf):
+    """A turn in a document that nests it more than 40 deep."""
+    turns = table(spark, sf, "conversations")
+    depth = (F.col("turn") + 40).cast("int")
+    leaf = F.to_json(F.struct("role", "turn"))
+    body = F.concat(F.expr("repeat('{\"in\":[', turn + 40)"), leaf, F.repeat(F.lit("]}"), depth))
+    bodies = turns.select(F.concat_ws("/", "conv_id", "turn").alias("url"), body.alias("body"))
+    return json_items(bodies, "$..[?@.role]").to_typed("role string, turn bigint").to_df()
+
+
+def _posts_where(spark, sf, test):
+    return json_items(_turn_bodies(spark, sf), f"$.posts[?{test}]").to_typed("role string, turn bigint").to_df()
+
+
+def json_path_length(spark, sf):
+    return _posts_where(spark, sf, "length(@.role) > 4 && length(@) == 3")
+
+
+def json_path_count(spark, sf):
+    return _posts_where(spark, sf, "count(@.*) == count($.posts[0].*) && count($..turn) == 3")
+
+
+def json_path_value(spark, sf):
+    return _posts_where(spark, sf, "value($.meta.*) > 102 && value(@..role) == 'later'")
+
+
+def json_path_match(spark, sf):
+    return _posts_where(spark, sf, r"match(@.role, '[a-z]+er') && !match(@.text, '.*')")
+
+
+def json_path_search(spark, sf):
+    return _posts_where(spark, sf, r"search(@.text, '[0-9]|\\bthe\\b')")
+
+
+def json_path_across(spark, sf):
+    """Posts that the first one of their document comes before."""
+    return _posts_where(spark, sf, "@.turn > $.posts[0].turn && $.meta.turn > @.turn")
+
+
 def json_scalars(spark, sf):
     """Elements that are no objects are kept under ``value``; counted by word."""
     documents = table(spark, sf, "documents").select("doc_id", "text")
@@ -303,6 +342,13 @@ QUERIES = {
         json_path_union,
         json_path_descent,
         json_path_tests,
+        json_path_deep,
+        json_path_length,
+        json_path_count,
+        json_path_value,
+        json_path_match,
+        json_path_search,
+        json_path_across,
         json_scalars,
         json_rejected,
         csv_bodies,
@@ -521,6 +567,22 @@ ORACLE = {
         SELECT role, turn FROM (SELECT role, turn FROM conversations
                                 UNION ALL SELECT 'later', turn + 10 FROM conversations)
         WHERE turn > 2 AND NOT (turn = 11 OR role = 'user')""",
+    "json_path_deep": "SELECT role, turn FROM conversations",
+    **{
+        f"json_path_{name}": f"""
+        SELECT role, turn
+        FROM (SELECT role, text, turn, turn AS own FROM conversations
+              UNION ALL SELECT 'later', text, turn + 10, turn FROM conversations)
+        WHERE {holds}"""
+        for name, holds in {
+            "length": "length(role) > 4",
+            "count": "true",
+            "value": "own > 2 AND role = 'later'",
+            "match": r"regexp_full_match(role, '[a-z]+er') AND contains(text, chr(10))",
+            "search": r"regexp_matches(text, '[0-9]|\bthe\b')",
+            "across": "role = 'later' AND turn < own + 100",
+        }.items()
+    },
     "json_scalars": """
         SELECT value, count(*) AS n
         FROM (SELECT unnest(string_split(text, ' ')) AS value FROM documents) GROUP BY value""",
