@@ -18,7 +18,9 @@ from rivulet.llm.pretokens import byte_letters
 WINDOW = 1024
 # Sequence ids of a partition start at its number times this.
 PARTITION_SPAN = 1 << 33
-_FLUSH_ROWS = 4096
+_END = np.uint32(0)
+# Rows that go out together, and the bytes of their ids.
+_FLUSH_ROWS, _FLUSH_BYTES = 4096, 2 << 20
 
 
 class Piece(NamedTuple):
@@ -106,8 +108,8 @@ def _encoder(path: str):
 
 def token_ids(path: str, text: str | None) -> np.ndarray:
     """The text's ids, special strings inside it included, then the end id 0."""
-    found = _encoder(path).encode(text or "", allowed_special="all", disallowed_special=())
-    return np.array([*found, 0], "<u4")
+    found = _encoder(path).encode_to_numpy(text or "", allowed_special="all", disallowed_special=())
+    return np.append(found, _END).astype("<u4", copy=False)
 
 
 def pack(
@@ -122,7 +124,7 @@ def pack(
     Every partition packs its own documents online: whole windows of a long document
     stand alone, its rest goes to the fill level that the sum-of-squares rule names;
     what is open at the end is cut to full windows, so a partition leaves one gap.
-    A task holds its open windows only. Columns: ``id_col``, start, ids (little-endian
+    A task holds its open windows and a few MB of rows only. Columns: ``id_col``, start, ids (little-endian
     unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Null and empty texts are the end id alone. Repeated rows are packed each. An
@@ -135,21 +137,27 @@ def pack(
     id_type = kept.schema["__id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, rows = LevelArray(window), []
+        levels, rows, held = LevelArray(window), [], 0
         sequence = TaskContext.get().partitionId() * PARTITION_SPAN
         kind = None
 
         def take(pieces: list[Piece]) -> None:
-            nonlocal sequence
+            nonlocal sequence, held
             offset = 0
             for p in pieces:
                 rows.append((p.doc, p.start, p.ids.tobytes(), p.doc_tokens, sequence, offset))
                 offset += len(p.ids)
+            held += 4 * offset
             sequence += 1
 
+        def enough() -> bool:
+            return len(rows) >= _FLUSH_ROWS or held >= _FLUSH_BYTES
+
         def flushed() -> pa.RecordBatch:
+            nonlocal held
             columns = list(zip(*rows))
             rows.clear()
+            held = 0
             types = [kind, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             names = [id_col, "start", "ids", "doc_tokens", "sequence_id", "offset"]
             return pa.RecordBatch.from_arrays(
@@ -162,14 +170,17 @@ def pack(
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids = token_ids(vocabulary, text)
                     for start in range(0, len(ids), window):
-                        full = levels.place(Piece(doc, start, ids[start : start + window], len(ids)))
+                        piece = ids[start : start + window]
+                        if len(piece) < window:
+                            piece = piece.copy()  # a slice would keep all ids of the document
+                        full = levels.place(Piece(doc, start, piece, len(ids)))
                         if full:
                             take(full)
-                    if len(rows) >= _FLUSH_ROWS:
-                        yield flushed()
+                        if enough():
+                            yield flushed()
         for pieces in levels.leftovers():
             take(pieces)
-            if len(rows) >= _FLUSH_ROWS:
+            if enough():
                 yield flushed()
         if rows:
             yield flushed()
