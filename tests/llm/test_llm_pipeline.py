@@ -97,6 +97,12 @@ def test_stages_on_hard_documents(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_the_rules_read_a_text_once(spark):
+    docs = table(spark, SF, "documents")
+    plan = corpus_pipeline.quality_rules(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # before: again below the filter
+
+
 def test_one_row_of_each_class_stays(spark):
     words = [f"word{i}" for i in range(100)]
     a, near, other = " ".join(words), " ".join(words[:99] + ["x"]), "quite another text of more than five words"

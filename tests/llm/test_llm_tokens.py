@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -130,6 +131,23 @@ def test_packing_query(spark, documents):
     assert gaps <= 1  # one partition
 
 
+def test_packing_hands_rows_on_in_small_batches(spark, monkeypatch):
+    docs = spark.createDataFrame([], "doc_id bigint, text string")
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run))
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # One long document alone, and many that leave open windows.
+    texts = [" ".join(map(str, range(400_000)))] + [f"{i} " * 700 for i in range(1_200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["__id", "__text"])
+    made = list(runs[0](iter([batch])))
+    sizes = [sum(len(x) for x in b.column("ids").to_pylist()) for b in made]
+    assert max(sizes) < 2 * packing._FLUSH_BYTES < sum(sizes)
+    rows = pa.Table.from_batches(made).to_pylist()
+    lengths = {r["doc_id"]: r["doc_tokens"] for r in rows}
+    assert sum(sizes) == 4 * sum(lengths.values()) and len(lengths) == len(texts)
+
+
 def test_levels_follow_the_rule():
     window, rng = 16, random.Random(3)
     levels, open_windows = packing.LevelArray(window), []
