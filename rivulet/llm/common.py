@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,10 +46,16 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def compact(df: DataFrame, bound: int, rows: int = 250_000) -> tuple[DataFrame, int]:
-    """``stored`` in as many partitions as ``bound``, the most rows it can have, needs,
-    and counted. What comes of a shuffle may be much smaller than what went in, and
-    every partition is a file here and in each shuffle that follows."""
-    written = stored(df.coalesce(max(1, -(-bound // rows))))
+    """Written once in as many files as ``bound``, the most rows it can have, needs, and
+    counted. What comes of a shuffle may be much smaller than what went in, and every
+    partition is a file here and in each shuffle that follows.
+
+    A checkpoint keeps the planner's estimate of its size, for a join the product of
+    both sides. Tables that are joined anew in every round would have estimates of so
+    many digits that the driver's memory goes on them; the size of files is known."""
+    path = f"{checkpoint_folder(df.sparkSession)}/compact-{uuid4()}"
+    df.coalesce(max(1, -(-bound // rows))).write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
     return written, written.count()
 
 

@@ -143,6 +143,14 @@ def test_components_of_chains_and_stars(spark):
     assert {labels[i] for i in (200, 250, 300)} == {200}
 
 
+def test_size_estimates_stay_small_round_after_round(spark):
+    chain = spark.range(40).selectExpr("cast(id AS string) a", "cast(id + 1 AS string) b")
+    labels = neardup.components(chain)
+    estimate = labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert estimate.bit_length() < 64  # as checkpoints: 4,958 bits
+    assert {r["component"] for r in labels.collect()} == {"0"}
+
+
 def brute_nearest(ids, matrix, query, k):
     own = np.flatnonzero(ids == query)[0]
     scores = [(-sum(x * y for x, y in zip(matrix[own], v)), int(i)) for i, v in zip(ids, matrix)]
